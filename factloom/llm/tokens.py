@@ -15,6 +15,8 @@ CACHE_WORDS = 500_000
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Dictionary-encoded words of all texts in order, and the number of words of each text (null: none)."""
+    if texts.offset:  # kernels on slices have given wrong bytes: copy
+        texts = texts.take(pa.array(np.arange(len(texts))))
     texts = texts.cast(pa.large_string())
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     words = pc.list_flatten(lists)
