@@ -78,3 +78,11 @@ def word_count(text: Column) -> Column:
 def bucket_of(doc_id: Column, mod: int) -> Column:
     """crc32(doc_id as text) mod `mod`; null for a null doc_id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of `rows` documents where the session has Spark's default of 10,000: texts are long, and
+    a worker holds a batch in several forms."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))

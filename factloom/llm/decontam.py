@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .tokens import split_words
 
 #: A block of items that goes to every task: this many words at most.
@@ -174,6 +175,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, similarity double, start long, n_words long"
+    small_batches(docs.sparkSession)
     out = None
     for block in _blocks(benchmark):
         part = docs.select("doc_id", "text").mapInArrow(_run(Items(block, shingle, similarity, radius), 2, 1, 0), schema)
@@ -183,6 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, with all their columns."""
+    small_batches(docs.sparkSession)
     for block in _blocks(benchmark):
         docs = docs.mapInArrow(_run(Items(block, shingle, similarity, radius), len(docs.columns), docs.columns.index("text"), None), docs.schema)
     return docs

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, cut
+from .common import bucket_of, cut, small_batches
 
 #: Letters fall into 63 classes (a to z, then hashed); all else is class 0, a word boundary.
 SPACE = 64 + 64**2 + 64**3
@@ -120,6 +120,7 @@ def learn(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_langua
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of `docs`, then _lang_pred and _score."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, scratch_path
+from .common import delete, scratch_path, small_batches
 from .tokens import encoder
 
 MAGIC, VERSION = b"FLRA", 1
@@ -140,6 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     are made once and kept in the shared scratch folder between the counting and the coding pass.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = scratch_path(spark, "ids")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

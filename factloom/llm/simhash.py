@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut
+from .common import broadcast_if, cut, small_batches
 from .graph import components
 
 CELL = 2048
@@ -180,6 +180,7 @@ def classes(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
     Null and empty texts, and texts of white space, have fingerprint 0 and link like any other. Repeated rows
     are linked; a component without a non-null doc_id has a null component_id. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     prints = cut(with_fingerprint(docs, shingle))
     return prints.join(labelled(prints, radius), "fp").select("doc_id", "fp", "component_id")
 
@@ -206,6 +207,7 @@ def dedup(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
             values = np.array([fingerprint(t, shingle) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=[*b.schema.names, key + "fp"])
 
+    small_batches(docs.sparkSession)
     prints = cut(with_fingerprint(docs, shingle))
     groups = labelled(prints, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("fp")))

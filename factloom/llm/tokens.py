@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers (about 150 bytes each).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
