@@ -140,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     are made once and kept in the shared scratch folder between the counting and the coding pass.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 3000)
     kept = scratch_path(spark, "ids")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

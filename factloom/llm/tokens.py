@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 
 #: Words that a worker remembers (about 150 bytes each).
 CACHE_WORDS = 200_000
+#: The same for an encoder whose words are dear to encode.
+ENCODER_WORDS = 1_000_000
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -49,6 +51,9 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.cache: dict[str, bytes] = {}
+        normalizer = self.tokenizer.normalizer
+        #: The tokenizer lower-cases by itself: words that differ in case alone are then encoded once.
+        self.lowers = normalizer is not None and normalizer.normalize_str("AbC") == "abc"
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Many words go through the library as one sequence, parted by a special token
@@ -72,12 +77,14 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids of each text."""
-        words, counts = split_words(texts)
+        # special tokens are matched before case is dropped
+        lower = self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py()
+        words, counts = split_words(texts, lower=lower)
         distinct = words.dictionary.to_pylist()
         missing = [w for w in distinct if w not in self.cache]
         new = dict(zip(missing, self._encode_words(missing), strict=True))
         parts = [self.cache[w] if w in self.cache else new[w] for w in distinct]
-        if len(self.cache) < CACHE_WORDS:
+        if len(self.cache) < ENCODER_WORDS:
             self.cache.update(new)
         size = self.dtype.itemsize
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // size
