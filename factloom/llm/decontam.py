@@ -126,7 +126,7 @@ class Items:
                 for i in sorted(near):
                     if (print_ ^ int(self.prints[i])).bit_count() <= self.radius:
                         sim = self.verify(window, i)
-                        if sim >= self.similarity and sim > found.get(i, (0.0, 0, 0))[0]:
+                        if sim >= self.similarity - 1e-9 and sim > found.get(i, (0.0, 0, 0))[0]:
                             found[i] = (sim, at, n)
         return found
 
