@@ -63,6 +63,12 @@ def with_fingerprint(docs: DataFrame, shingle: int = 4, name: str = "fp") -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {name} long")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints whose last axis holds their 64-bit words."""
+    n = np.bitwise_count(a ^ b)
+    return n[..., 0].astype(np.int16) if n.shape[-1] == 1 else n.sum(-1, dtype=np.int16)
+
+
 class BKTree:
     """Children keyed by integer distance to the parent's pivot; small subtrees are leaves."""
 
@@ -74,18 +80,18 @@ class BKTree:
         if len(members) <= LEAF:
             return
         self.pivot, rest, self.leaf = int(members[0]), members[1:], None
-        d = np.bitwise_count(x[rest] ^ x[self.pivot])
+        d = distance(x[rest], x[self.pivot])
         for k in np.unique(d):
             self.children[int(k)] = BKTree(x, rest[d == k])
 
     def within(self, x: np.ndarray, queries: np.ndarray, radius: int, out: list) -> None:
         """Append (member, query) index arrays of all pairs within the radius."""
         if self.leaf is not None:
-            d = np.bitwise_count(x[self.leaf][:, None] ^ x[queries][None, :])
+            d = distance(x[self.leaf][:, None], x[queries][None, :])
             i, j = np.nonzero(d <= radius)
             out.append((self.leaf[i], queries[j]))
             return
-        d = np.bitwise_count(x[queries] ^ x[self.pivot]).astype(np.int16)
+        d = distance(x[queries], x[self.pivot])
         near = queries[d <= radius]
         out.append((np.full(len(near), self.pivot), near))
         for k, child in self.children.items():
@@ -95,7 +101,7 @@ class BKTree:
 
 
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A star of each component of the fingerprints of one cell: (member, least member) index arrays."""
+    """A star of each component of the fingerprints (rows of words) of one cell: (member, least member) index arrays."""
     everyone = np.arange(len(x))
     out: list = []
     BKTree(x, everyone).within(x, everyone, radius, out)
@@ -135,43 +141,68 @@ def links(classes: DataFrame, n: int, radius: int, name: str = "fp") -> DataFram
     masks = shard_masks(n, radius)
     keys = F.array(*[F.struct(F.lit(i).alias("mask"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])
     rows = classes.select(F.col(name).alias("fp"), F.explode(keys).alias("k")).select("fp", "k.mask", "k.key")
-    large = cut(rows.groupBy("mask", "key").count().where(F.col("count") > CELL).select("mask", "key", F.ceil(F.col("count") / CELL).cast("int").alias("chunks")))
-    many = large.count()
-    if many:
-        chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        other = F.sequence(F.lit(0), F.col("chunks") - 1)
-        cells = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(other, lambda o: F.least(chunk, o) * F.col("chunks") + F.greatest(chunk, o)))
-        rows = rows.join(broadcast_if(large, many, BROADCAST_SHARDS), ["mask", "key"], "left").select("fp", "mask", "key", F.explode(cells).alias("cell"))
-    else:
-        rows = rows.withColumn("cell", F.lit(0))
+    return shard_links(rows, "fp", ["fp"], ["mask", "key"], radius)
+
+
+def into_cells(rows: DataFrame, ident: str, group: list[str], large: DataFrame, many: int) -> DataFrame:
+    """`rows` with a column `cell`: groups of `large` (group, chunks; `many` rows) become pairs of chunks,
+    each of which holds both chunks' members; other groups are a cell of their own."""
+    if not many:
+        return rows.withColumn("cell", F.lit(0))
+    chunk = F.pmod(F.xxhash64(ident), F.col("chunks")).cast("int")
+    other = F.sequence(F.lit(0), F.col("chunks") - 1)
+    cells = F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(F.transform(other, lambda o: F.least(chunk, o) * F.col("chunks") + F.greatest(chunk, o)))
+    return rows.join(broadcast_if(large, many, BROADCAST_SHARDS), group, "left").select(*rows.columns, F.explode(cells).alias("cell"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run of equal `by` columns, where equal rows follow one another, as one batch."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not len(b):
+            continue
+        k = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in by], axis=1)
+        edges = [0, *(np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1).tolist(), len(b)]
+        for s, e in itertools.pairwise(edges):
+            now = tuple(k[s])
+            if held and now != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(b.slice(s, e - s))
+            last = now
+    if held:
+        yield pa.concat_batches(held)
+
+
+def shard_links(rows: DataFrame, ident: str, words: list[str], shard: list[str], radius: int) -> DataFrame:
+    """Links (u, v) of `ident` that span all pairs within the radius in each shard of `rows`.
+
+    `words` names the 64-bit words of the fingerprint (long columns), `shard` the key (long columns). Rows
+    of a shard must differ in `ident`.
+    """
+    kind = rows.schema[ident].dataType.simpleString()
+    large = cut(rows.groupBy(*shard).count().where(F.col("count") > CELL).select(*shard, F.ceil(F.col("count") / CELL).cast("int").alias("chunks")))
+    rows = into_cells(rows, ident, shard, large, large.count())
+    by = [*shard, "cell"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
-
-        def emit(block: np.ndarray):
-            edge = np.nonzero((block[1:, 1:] != block[:-1, 1:]).any(1))[0] + 1
-            us, vs = [], []
-            for s, e in itertools.pairwise([0, *edge.tolist(), len(block)]):
-                if e - s > 1:
-                    x = block[s:e, 0]
-                    a, b = forest(x.view(np.uint64), radius)
-                    us.append(x[a])
-                    vs.append(x[b])
-            return pa.record_batch([pa.array(np.concatenate([*us, np.zeros(0, np.int64)])), pa.array(np.concatenate([*vs, np.zeros(0, np.int64)]))], names=["u", "v"])
-
-        for b in batches:
-            block = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)])
-            last = np.nonzero((block[:, 1:] != block[-1:, 1:]).any(1))[0] if len(block) else []
-            at = int(last[-1]) + 1 if len(last) else 0
-            if at:
-                yield emit(np.ascontiguousarray(block[:at]))
-            held = block[at:]
-        if len(held) > 1:
-            yield emit(np.ascontiguousarray(held))
-
-    # a batch's arrays are column slices: fingerprints must be contiguous to be viewed as unsigned
-    dealt = rows.repartition("mask", "key", "cell").sortWithinPartitions("mask", "key", "cell", "fp")
-    return dealt.select("fp", "mask", "key", "cell").mapInArrow(run, "u long, v long")
+        us, vs, n = [], [], 0
+        for g in runs(batches, by):
+            if len(g) > 1:
+                x = np.stack([g.column(w).to_numpy().view(np.uint64) for w in words], axis=1)
+                a, b = forest(x, radius)
+                us.append(g.column(ident).take(pa.array(a)))
+                vs.append(g.column(ident).take(pa.array(b)))
+                n += len(a)
+            if n > 10_000:
+                yield pa.record_batch([pa.concat_arrays(us), pa.concat_arrays(vs)], names=["u", "v"])
+                us, vs, n = [], [], 0
+        if n:
+            yield pa.record_batch([pa.concat_arrays(us), pa.concat_arrays(vs)], names=["u", "v"])
+
+    dealt = rows.repartition(*by).sortWithinPartitions(*by)
+    return dealt.select(*dict.fromkeys([ident, *words, *by])).mapInArrow(run, f"u {kind}, v {kind}")
 
 
 def classes(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
