@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import decontam, langid, mixing, rans, simhash
+from factloom.llm import decontam, langid, mixing, neardup, rans
 from factloom.llm.common import delete, scratch_path, table
 from factloom.llm.queries import word_bpe
 
@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of fingerprints that differ in at most 4 bits."""
-    return simhash.dedup(docs)
+    """One document of each component of texts whose sets of 5-word shingles are similar by 0.8 or more."""
+    return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
