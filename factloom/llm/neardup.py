@@ -53,13 +53,10 @@ def sketch(s: np.ndarray) -> tuple[list[int], list[int]]:
         return [0] * WORDS, [0] * BANDS
     counts = np.zeros((WORDS, 64), np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 1 << 14):
-        part = s[at : at + (1 << 14)]
-        for i in range(WORDS):
-            bits = np.unpackbits(mixed(part, _SEEDS[i]).view(np.uint8).reshape(-1, 8), axis=1)
-            counts[i] += bits.sum(0, dtype=np.uint16)
-        for i in range(BANDS * ROWS):
-            least[i] = min(least[i], mixed(part, _SEEDS[WORDS + i]).min())
+    for at in range(0, len(s), 1 << 12):
+        x = mixed(s[at : at + (1 << 12)], _SEEDS[:, None])
+        least = np.minimum(least, x[WORDS:].min(1))
+        counts += np.unpackbits(x[:WORDS].view(np.uint8).reshape(WORDS, -1, 8), axis=2).sum(1, dtype=np.uint16)
     prints = np.packbits(2 * counts > len(s), axis=1).view(np.int64).ravel()
     keys = least.reshape(BANDS, ROWS)
     key = mixed(keys[:, 0], _ODD)
@@ -76,6 +73,12 @@ def _hashed(texts: pa.Array) -> Iterator[np.ndarray]:
     return (h[s:e] for s, e in zip(at[:-1], at[1:], strict=True))
 
 
+def _text_key() -> list:
+    """128 bits of the text as it is, computed in the JVM."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("_k0"), F.xxhash64(F.lit(1), text).alias("_k1")]
+
+
 def _class_id(h: np.ndarray) -> bytes:
     import xxhash
 
@@ -83,7 +86,7 @@ def _class_id(h: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, cid (128-bit class), n (distinct shingles), f0.. (SimHash), keys (bands) of every whole text."""
+    """doc_id, _k0 and _k1 (the text), cid (128-bit class), n (distinct shingles), f0.. (SimHash), keys (bands) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,10 +103,10 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 prints.append(p)
                 keys.append(k)
             f = np.array(prints, np.int64).reshape(-1, WORDS).T
-            yield pa.record_batch([b.column(0), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in f), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "cid", "n", *(f"f{i}" for i in range(WORDS)), "keys"])
+            yield pa.record_batch([b.column(0), b.column(2), b.column(3), pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in f), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "_k0", "_k1", "cid", "n", *(f"f{i}" for i in range(WORDS)), "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, cid binary, n long, {', '.join(f'f{i} long' for i in range(WORDS))}, keys array<long>")
+    return docs.select("doc_id", "text", *_text_key()).mapInArrow(run, f"doc_id {kind}, _k0 long, _k1 long, cid binary, n long, {', '.join(f'f{i} long' for i in range(WORDS))}, keys array<long>")
 
 
 def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
@@ -136,11 +139,7 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
 
 
 def _verified(docs: DataFrame, members: DataFrame, count: int, shingle: int, similarity: float) -> DataFrame:
-    """Links (u, v) that span the similar pairs of each candidate group of `members` (cid, group, n)."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([pa.array([_class_id(h) for h in _hashed(b.column(0))], pa.binary()), b.column(0)], names=["cid", "text"])
+    """Links (u, v) that span the similar pairs of each candidate group of `members` (cid, group, n, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in simhash.runs(batches, by):
@@ -153,30 +152,30 @@ def _verified(docs: DataFrame, members: DataFrame, count: int, shingle: int, sim
     by = ["g0", "g1", "cell"]
     # the 128 bits of a group, as longs
     halves = [F.conv(F.hex(F.substring("group", i, 8)), 16, -10).cast("long") for i in (1, 9)]
-    members = members.select("cid", halves[0].alias("g0"), halves[1].alias("g1"), "n")
+    members = members.select("cid", halves[0].alias("g0"), halves[1].alias("g1"), "n", "key._k0", "key._k1")
     size = members.groupBy("g0", "g1").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("s") / CHUNK_SHINGLES)).cast("int")
     large = cut(size.select("g0", "g1", chunks.alias("chunks")).where("chunks > 1"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sets, "cid binary, text string")
-    found = texts.join(broadcast_if(members.drop("n"), count, BROADCAST_MEMBERS), "cid").groupBy("cid").agg(*(F.first(c).alias(c) for c in ("g0", "g1", "text")))
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *_text_key())
+    found = texts.join(broadcast_if(members.drop("n"), count, BROADCAST_MEMBERS), ["_k0", "_k1"]).groupBy("cid").agg(*(F.first(c).alias(c) for c in ("g0", "g1", "text")))
     rows = simhash.into_cells(found, "cid", ["g0", "g1"], large, large.count())
     return rows.repartition(*by).sortWithinPartitions(*by).select("cid", "text", *by).mapInArrow(run, "u binary, v binary")
 
 
 def _groups(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cid) of all rows, and (cid, component, component_id) of all classes."""
+    """(doc_id, _k0, _k1, cid) of all rows, and (cid, component, component_id) of all classes."""
     small_batches(docs.sparkSession)
     prints = cut(_sketches(docs, shingle))
     words = [f"f{i}" for i in range(WORDS)]
-    distinct = cut(prints.groupBy("cid").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *words, "keys"))))
+    distinct = cut(prints.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(F.struct("_k0", "_k1")).alias("key"), *(F.first(c).alias(c) for c in ("n", *words, "keys"))))
     shards = distinct.select("cid", *words, F.posexplode("keys").alias("band", "key"))
     candidates = components(simhash.shard_links(shards, "cid", words, ["band", "key"], radius))
-    members = cut(candidates.join(distinct.select("cid", "n"), F.col("node") == F.col("cid")).select("cid", F.col("component").alias("group"), "n"))
+    members = cut(candidates.join(distinct.select("cid", "n", "key"), F.col("node") == F.col("cid")).select("cid", F.col("component").alias("group"), "n", "key"))
     count = members.count()
     found = components(_verified(docs, members, count, shingle, similarity)) if count else candidates
     placed = distinct.select("cid", "least").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
     labelled = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component")
-    return prints.select("doc_id", "cid"), labelled.select("cid", "component", "component_id")
+    return prints.select("doc_id", "_k0", "_k1", "cid"), labelled.select("cid", "component", "component_id")
 
 
 def classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 76) -> DataFrame:
@@ -193,21 +192,14 @@ def classes(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radiu
 def dedup(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 76) -> DataFrame:
     """One row of each component (see `classes`), with all columns of `docs`: that of the least doc_id (nulls last).
 
-    Of rows with that doc_id, one stays; which of them is open where their other columns differ.
+    Of rows with that doc_id and different texts, the one whose text hashes to less; of those with one text, any.
     """
-    key = "_neardup_"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [_class_id(h) for h in _hashed(b.column(b.schema.get_field_index("text")))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], names=[*b.schema.names, key + "c"])
-
     prints, groups = _groups(docs, shingle, similarity, radius)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("cid").alias("c")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), "_k0", "_k1"))
     chosen = prints.distinct().join(groups, "cid").groupBy("component").agg(first.alias("r"))
-    stays = cut(chosen.select(F.coalesce("r.i", F.lit(0)).alias(key + "i"), F.col("r.n").alias(key + "n"), F.col("r.c").alias(key + "c")))
-    marked = docs.mapInArrow(run, f"{docs.schema.toDDL()}, {key}c binary").withColumns({key + "i": F.coalesce("doc_id", F.lit(0)), key + "n": F.col("doc_id").isNull()})
-    on = [key + "i", key + "n", key + "c"]
-    kept = marked.join(stays.hint("shuffle_hash"), on, "left_semi")
-    repeated = prints.groupBy("doc_id", "cid").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(on) if repeated else kept).select(*docs.columns)
+    names = ["_neardup_i", "_neardup_n", "_neardup_0", "_neardup_1"]
+    stays = cut(chosen.select(*(c.alias(k) for c, k in zip((F.coalesce("r.i", F.lit(0)), F.col("r.n"), F.col("r._k0"), F.col("r._k1")), names, strict=True))))
+    marked = docs.withColumns(dict(zip(names, (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), *_text_key()), strict=True)))
+    kept = marked.join(stays.hint("shuffle_hash"), names, "left_semi")
+    repeated = prints.groupBy("doc_id", "_k0", "_k1").count().where("count > 1").limit(1).count()
+    return (kept.dropDuplicates(names) if repeated else kept).select(*docs.columns)

@@ -156,15 +156,18 @@ def into_cells(rows: DataFrame, ident: str, group: list[str], large: DataFrame,
 
 
 def runs(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each run of equal `by` columns, where equal rows follow one another, as one batch."""
+    """The rows of each run of equal `by` columns, where equal rows follow one another, as one batch; runs of one row
+    may be passed over."""
     held: list[pa.RecordBatch] = []
     last = None
     for b in batches:
         if not len(b):
             continue
         k = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in by], axis=1)
-        edges = [0, *(np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1).tolist(), len(b)]
-        for s, e in itertools.pairwise(edges):
+        edges = np.concatenate([[0], np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1, [len(b)]])
+        many = np.diff(edges) > 1
+        many[[0, -1]] = True  # may go on in another batch
+        for s, e in zip(edges[:-1][many].tolist(), edges[1:][many].tolist(), strict=True):
             now = tuple(k[s])
             if held and now != last:
                 yield pa.concat_batches(held)
