@@ -28,7 +28,9 @@ from .tokens import split_words, spread
 BANDS, ROWS = 14, 2
 WORDS = 4
 #: Members and shingles of a chunk of a candidate group.
-CHUNK, CHUNK_SHINGLES = 1024, 4_000_000
+CHUNK, CHUNK_SHINGLES = 1024, 1_000_000
+#: Holders of shingles that are counted at a time.
+POSTINGS = 500_000
 #: Up to so many members of candidate groups, their list is broadcast (about 60 bytes each).
 BROADCAST_MEMBERS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -124,8 +126,8 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
     for i in range(m):
         mine = of[at[i] : at[i + 1]]
         both = np.zeros(m, np.int64)
-        for j in range(0, len(mine), max(1, 4_000_000 // m)):
-            both += np.bincount(holders[spread(first, number, mine[j : j + max(1, 4_000_000 // m)])], minlength=m)
+        for j in range(0, len(mine), max(1, POSTINGS // m)):
+            both += np.bincount(holders[spread(first, number, mine[j : j + max(1, POSTINGS // m)])], minlength=m)
         total = sizes[i] + sizes - both
         near = np.nonzero((both >= similarity * total - 1e-9) & (label != label[i]))[0]
         for j in near.tolist():

@@ -26,6 +26,8 @@ from .graph import components
 
 CELL = 2048
 LEAF = 16
+#: Members of a cell that are looked up at a time.
+QUERIES = 256
 #: Up to so many oversized shards, their list is broadcast.
 BROADCAST_SHARDS = 200_000
 
@@ -100,21 +102,29 @@ class BKTree:
                 child.within(x, chosen, radius, out)
 
 
+def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """`label` (least member of each component) after the links i - j."""
+    while True:
+        a, b = label[i], label[j]
+        open_ = a != b
+        if not open_.any():
+            return label
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A star of each component of the fingerprints (rows of words) of one cell: (member, least member) index arrays."""
     everyone = np.arange(len(x))
-    out: list = []
-    BKTree(x, everyone).within(x, everyone, radius, out)
-    i, j = (np.concatenate(p) for p in zip(*out, strict=True))
-    label = everyone.copy()
-    if (i != j).any():
-        while True:
-            before = label.copy()
-            np.minimum.at(label, i, label[j])
-            np.minimum.at(label, j, label[i])
-            label = label[label]
-            if (label == before).all():
-                break
+    tree, label = BKTree(x, everyone), everyone
+    for at in range(0, len(x), QUERIES):  # the links of a block of queries at a time
+        out: list = []
+        tree.within(x, everyone[at : at + QUERIES], radius, out)
+        label = merged(label, *(np.concatenate(p) for p in zip(*out, strict=True)))
     moved = np.nonzero(label != everyone)[0]
     return moved, label[moved]
 
