@@ -119,13 +119,22 @@ def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def forest(x: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A star of each component of the fingerprints (rows of words) of one cell: (member, least member) index arrays."""
-    everyone = np.arange(len(x))
-    tree, label = BKTree(x, everyone), everyone
-    for at in range(0, len(x), QUERIES):  # the links of a block of queries at a time
+    # equal fingerprints are one point of the tree, which would be as deep as they are many
+    order = np.lexsort(x.T)
+    new = np.concatenate([[True], (x[order][1:] != x[order][:-1]).any(1)])
+    point = np.empty(len(x), np.int64)
+    point[order] = np.cumsum(new) - 1
+    points = x[order[new]]
+    everyone = np.arange(len(points))
+    tree, label = BKTree(points, everyone), everyone
+    for at in range(0, len(points), QUERIES):  # the links of a block of queries at a time
         out: list = []
-        tree.within(x, everyone[at : at + QUERIES], radius, out)
+        tree.within(points, everyone[at : at + QUERIES], radius, out)
         label = merged(label, *(np.concatenate(p) for p in zip(*out, strict=True)))
-    moved = np.nonzero(label != everyone)[0]
+    least = np.full(len(points), len(x))
+    np.minimum.at(least, label[point], np.arange(len(x)))
+    label = least[label[point]]
+    moved = np.nonzero(label != np.arange(len(x)))[0]
     return moved, label[moved]
 
 

@@ -97,3 +97,10 @@ def test_bands_and_radius_find_similar_sets():
             bands += not any(x == y for x, y in zip(k, m, strict=True))
             far += sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(p, q, strict=True)) > 76
         assert bands == far == 0
+
+
+def test_many_equal_fingerprints_in_a_cell():
+    x = np.full((2048, 4), 7, np.uint64)
+    x[:1000] ^= np.random.default_rng(1).integers(0, 2**62, (1000, 4)).astype(np.uint64)
+    moved, to = simhash.forest(x, 30)
+    assert moved.tolist() == list(range(1001, 2048)) and set(to.tolist()) == {1000}
