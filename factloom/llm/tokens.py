@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: Words that a worker remembers (about 150 bytes each).
 CACHE_WORDS = 200_000
 #: The same for an encoder whose words are dear to encode.
-ENCODER_WORDS = 1_000_000
+ENCODER_WORDS = 400_000
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
