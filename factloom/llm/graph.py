@@ -34,9 +34,10 @@ def components(links: DataFrame) -> DataFrame:
     round's links are written to the checkpoint folder, so a lost executor costs a round at most. Rounds
     grow with the logarithm of the longest chain.
     """
-    nodes = links.where("u IS NOT NULL AND v IS NOT NULL")
-    now = cut(nodes.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    loops = nodes.where("u = v").select("u").distinct()
+    # `links` can be dear to compute: once, for loops too
+    pairs = cut(links.where("u IS NOT NULL AND v IS NOT NULL").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    loops = pairs.where("u = v").select("u")
+    now = pairs.where("u != v")
     size = now.count()
     seen = None
     while size:
