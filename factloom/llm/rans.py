@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import delete, scratch_path, small_batches
-from .tokens import encoder
+from .tokens import ENCODER_WORDS, encoder
 
 MAGIC, VERSION = b"FLRA", 1
 HEAD = struct.Struct("<4sIIIQIIQ")
@@ -132,19 +132,20 @@ class Block:
         return out.reshape(-1)[: max(0, self.n - begin * self.lanes)]
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, words: int = ENCODER_WORDS) -> None:
     """Encode every whole text of `docs` (doc_id long, text; others ignored) and write the dataset `path`.
 
     Subfolders: `blocks` (part, block, start, ids, data) in ascending doc_id order (nulls first; rows of one
     doc_id by a checksum of their ids) and `table` (id, count). Null and empty texts are the end id alone. Ids
-    are made once and kept in the shared scratch folder between the counting and the coding pass.
+    are made once and kept in the shared scratch folder between the counting and the coding pass. A worker
+    remembers up to about `words` encoded words (memory against time; the ids are the same).
     """
     spark = docs.sparkSession
     small_batches(spark, 3000)
     kept = scratch_path(spark, "ids")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, words)
         if end_id >= 1 << (8 * enc.dtype.itemsize):
             raise ValueError("end id is too large for the tokenizer's ids")
         end = np.array([end_id], enc.dtype).tobytes()
@@ -238,8 +239,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     return blocks.select("part", "start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 1, words: int = ENCODER_WORDS) -> DataFrame:
     """Write `docs` to the shared scratch folder and read the files back."""
     path = scratch_path(docs.sparkSession, "rans")
-    write(docs, path, tokenizer, end_id)
+    write(docs, path, tokenizer, end_id, words)
     return read(docs.sparkSession, path)

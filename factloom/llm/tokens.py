@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 
 #: Words that a worker remembers (about 150 bytes each).
 CACHE_WORDS = 200_000
-#: The same for an encoder whose words are dear to encode.
-ENCODER_WORDS = 400_000
+#: The same for an encoder whose words are dear to encode, if its caller names no other number.
+ENCODER_WORDS = 1_000_000
 
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -41,7 +41,7 @@ class WordEncoder:
 
     SEPARATOR = "<|endoftext|>"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = ENCODER_WORDS):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -51,6 +51,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.separator = self.tokenizer.token_to_id(self.SEPARATOR)
         self.cache: dict[str, bytes] = {}
+        self.words = words
         normalizer = self.tokenizer.normalizer
         #: The tokenizer lower-cases by itself: words that differ in case alone are then encoded once.
         self.lowers = normalizer is not None and normalizer.normalize_str("AbC") == "abc"
@@ -84,7 +85,7 @@ class WordEncoder:
         missing = [w for w in distinct if w not in self.cache]
         new = dict(zip(missing, self._encode_words(missing), strict=True))
         parts = [self.cache[w] if w in self.cache else new[w] for w in distinct]
-        if len(self.cache) < ENCODER_WORDS:
+        if len(self.cache) < self.words:
             self.cache.update(new)
         size = self.dtype.itemsize
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // size
@@ -96,11 +97,11 @@ class WordEncoder:
         return ids, ends[at[1:]] - ends[at[:-1]]
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder a worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, words: int = ENCODER_WORDS) -> WordEncoder:
+    """One encoder a worker process, file and number of words remembered."""
+    if (path, words) not in _encoders:
+        _encoders[path, words] = WordEncoder(path, words)
+    return _encoders[path, words]
