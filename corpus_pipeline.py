@@ -13,6 +13,9 @@ from factloom.llm import decontam, langid, mixing, neardup, rans
 from factloom.llm.common import delete, scratch_path, table
 from factloom.llm.queries import word_bpe
 
+#: Encoded words that a worker remembers: executors still hold the memory of the stages before.
+TOKEN_WORDS = 400_000
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; the others go."""
@@ -36,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows as read back from the binary output: doc_id, start, n_tokens, ids_crc32."""
-    return rans.round_trip(docs, word_bpe())
+    return rans.round_trip(docs, word_bpe(), words=TOKEN_WORDS)
 
 
 STAGES = [("language_id", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminate), ("mixing", mix), ("token_ids", token_ids)]
