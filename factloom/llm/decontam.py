@@ -1,10 +1,9 @@
-"""Benchmark decontamination with SimHash over item-sized windows.
+"""Benchmark decontamination by exact weighted similarity over item-sized windows.
 
-For each length of a benchmark item, windows of that many words slide over every whole document. A window
-is fingerprinted with a SimHash of its words and word pairs, candidates come from a multi-index
-(radius + 1 bit blocks: fingerprints within the radius agree on one), and candidates are verified by exact
-weighted similarity of word shingles. Windows that cannot verify are passed over without loss: the weight
-of their shingles that occur in the benchmark at all bounds the similarity from above.
+For each length of a benchmark item, windows of that many words slide over every whole document. Windows
+that cannot verify are passed over without loss: the weight of their shingles that items of that length
+hold, and then of those that the one item holds, bounds the similarity from above. All others are verified
+by exact weighted similarity of word shingles, so nothing at or above `similarity` is missed.
 """
 
 from __future__ import annotations
@@ -44,19 +43,11 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def simhash(h: np.ndarray) -> int:
-    """64-bit SimHash of the words and word pairs of a window."""
-    features = np.concatenate([h, shingle_hashes(h, 2)])
-    mixed = (features ^ (features >> np.uint64(30))) * _MIX
-    bits = np.unpackbits(mixed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(features)).view(">u8")[0])
-
-
 class Items:
     """The index over a block of benchmark items (item_id, words)."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], shingle: int, similarity: float, radius: int):
-        self.shingle, self.similarity, self.radius = shingle, similarity, radius
+    def __init__(self, items: list[tuple[int, list[str]]], shingle: int, similarity: float):
+        self.shingle, self.similarity = shingle, similarity
         self.ids = [i for i, _ in items]
         hashes = [word_hashes(w) for _, w in items]
         self.length = np.array([len(h) for h in hashes])
@@ -73,24 +64,14 @@ class Items:
         self.table[(self.known >> np.uint64(44)).astype(np.int64)] = True
         self.groups = {int(n): np.nonzero(self.length == n)[0] for n in np.unique(self.length)}
         self.least = {n: float(self.mass[g].min()) for n, g in self.groups.items()}
-        # shingle -> lengths of the items that hold it
-        self.lengths_of: dict[int, set[int]] = {}
-        for o, h in zip(own, hashes, strict=True):
-            for x in o.tolist():
-                self.lengths_of.setdefault(x, set()).add(len(h))
-        prints = np.array([simhash(h) for h in hashes], dtype=np.uint64)
-        edges = [round(i * 64 / (radius + 1)) for i in range(radius + 2)]
-        self.blocks = [(np.uint64(s), np.uint64((1 << (e - s)) - 1)) for s, e in zip(edges, edges[1:], strict=False)]
-        self.prints = prints
-        # (length, block, block value) -> items
-        self.index: dict[tuple[int, int, int], list[int]] = {}
-        for i, p in enumerate(prints.tolist()):
-            for b, (s, mask) in enumerate(self.blocks):
-                self.index.setdefault((int(self.length[i]), b, p >> int(s) & int(mask)), []).append(i)
-
-    def verify(self, window: np.ndarray, item: int) -> float:
+        # shingle -> length -> the items of that length that hold it
+        self.holders: dict[int, dict[int, list[int]]] = {}
+        for i, o in enumerate(own):
+            for x in set(o.tolist()):
+                self.holders.setdefault(x, {}).setdefault(int(self.length[i]), []).append(i)
+
+    def verify(self, bag: Counter, item: int) -> float:
         """Weighted Jaccard similarity of the shingle multisets."""
-        bag = Counter(shingle_hashes(window, min(self.shingle, len(window))).tolist())
         both = total = 0.0
         for s in bag.keys() | self.bags[item].keys():
             a, b, w = bag.get(s, 0), self.bags[item].get(s, 0), self.weight.get(s, self.rest)
@@ -100,37 +81,64 @@ class Items:
     def hits(self, h: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """item -> (similarity, first word, words) of the best window of a document, the first among equals."""
         found: dict[int, tuple[float, int, int]] = {}
-        # (item length) -> places and weights of the shingles that items of that length hold
-        places: dict[int, list[tuple[int, float]]] = {}
+        # (item length) -> places and hashes of the shingles that items of that length hold
+        places: dict[int, list[tuple[int, int]]] = {}
         for k in {min(self.shingle, n) for n in self.groups if n <= len(h)}:
             s = shingle_hashes(h, k)
             for at in np.nonzero(self.table[(s >> np.uint64(44)).astype(np.int64)])[0].tolist():
                 x = int(s[at])
-                for n in self.lengths_of.get(x, ()):
+                for n in self.holders.get(x, ()):
                     if min(self.shingle, n) == k and n <= len(h):
-                        places.setdefault(n, []).append((at, self.weight[x]))
+                        places.setdefault(n, []).append((at, x))
         for n, hits in places.items():
             k = min(self.shingle, n)
-            if sum(w for _, w in hits) < self.similarity * self.least[n] - 1e-9:
+            width = n
+            per = width - k + 1  # shingles of a window
+            first, weights = _reach([at for at, _ in hits], [self.weight[x] for _, x in hits], per, len(h) - width)
+            passed = np.nonzero(weights >= self.similarity * self.least[n] - 1e-9)[0] + first
+            if not len(passed):
                 continue
-            worth = np.zeros(len(h) - k + 1)
-            at, w = zip(*hits, strict=True)
-            worth[list(at)] = w
-            sums = np.concatenate([[0.0], np.cumsum(worth)])
-            per = n - k + 1  # shingles of a window
-            windows = np.nonzero(sums[per:] - sums[:-per] >= self.similarity * self.least[n] - 1e-9)[0]
-            for at in windows.tolist():
-                window = h[at : at + n]
-                print_ = simhash(window)
-                near = {i for b, (s, mask) in enumerate(self.blocks) for i in self.index.get((n, b, print_ >> int(s) & int(mask)), ())}
-                for i in sorted(near):
-                    if (print_ ^ int(self.prints[i])).bit_count() <= self.radius:
-                        sim = self.verify(window, i)
-                        if sim >= self.similarity - 1e-9 and sim > found.get(i, (0.0, 0, 0))[0]:
-                            found[i] = (sim, at, n)
+            of_item: dict[int, tuple[list[int], list[float]]] = {}
+            # the next window that passed, at or after the first one over a place, must begin at the place or before
+            at = np.array([at for at, _ in hits])
+            following = np.searchsorted(passed, at - per + 1)
+            over = (following < len(passed)) & (passed[np.minimum(following, len(passed) - 1)] <= at)
+            for j in np.nonzero(over)[0].tolist():
+                for i in self.holders[hits[j][1]][n]:
+                    mine = of_item.setdefault(i, ([], []))
+                    mine[0].append(hits[j][0])
+                    mine[1].append(self.weight[hits[j][1]])
+            bags: dict[int, Counter] = {}
+            for i, (at, w) in sorted(of_item.items()):
+                least = self.similarity * self.mass[i] - 1e-9
+                if sum(w) < least:
+                    continue
+                first, weights = _reach(at, w, per, len(h) - width)
+                for j in np.nonzero(weights >= least)[0].tolist():
+                    best = found.get(i, (0.0, 0, 0))[0]
+                    if weights[j] + 1e-9 < best * self.mass[i] or best == 1.0:  # cannot be better than the best so far
+                        continue
+                    at_j = first + j
+                    if at_j not in bags:
+                        bags[at_j] = Counter(shingle_hashes(h[at_j : at_j + width], k).tolist())
+                    sim = self.verify(bags[at_j], i)
+                    if sim >= self.similarity - 1e-9 and sim > best:
+                        found[i] = (sim, at_j, width)
         return found
 
 
+def _reach(at: list[int], weights: list[float], per: int, last: int) -> tuple[int, np.ndarray]:
+    """(first window, weight in it and in each after it): windows of `per` places, the last begins at `last`.
+
+    `at` ascends; windows before the first and after the last that hold a place are left out.
+    """
+    first, end = max(0, at[0] - per + 1), min(last, at[-1])
+    worth = np.zeros(end - first + per)
+    worth[np.array(at) - first] = weights
+    sums = np.concatenate([[0.0], np.cumsum(worth)])
+    return first, sums[per:] - sums[:-per]
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
     """Items with a word, in blocks of bounded size; streamed, one block on the driver at a time."""
     block, size = [], 0
@@ -166,7 +174,7 @@ def _run(index: Items, columns: int, text_at: int, id_at: int | None):
     return run
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, item_id, similarity, start, n_words): the best window of each document for each item it holds.
 
     Words are lower-cased (A-Z) runs without ASCII white space; an item of fewer words than `shingle` is one
@@ -178,14 +186,14 @@ def find(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity:
     small_batches(docs.sparkSession)
     out = None
     for block in _blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_run(Items(block, shingle, similarity, radius), 2, 1, 0), schema)
+        part = docs.select("doc_id", "text").mapInArrow(_run(Items(block, shingle, similarity), 2, 1, 0), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that hold no benchmark item, with all their columns."""
     small_batches(docs.sparkSession)
     for block in _blocks(benchmark):
-        docs = docs.mapInArrow(_run(Items(block, shingle, similarity, radius), len(docs.columns), docs.columns.index("text"), None), docs.schema)
+        docs = docs.mapInArrow(_run(Items(block, shingle, similarity), len(docs.columns), docs.columns.index("text"), None), docs.schema)
     return docs

@@ -350,6 +350,32 @@ def test_decontamination_brute_force(spark, odd_docs):
     assert decontam.find(docs, benchmark.limit(0)).count() == 0 and decontam.find(docs.limit(0), benchmark).count() == 0
 
 
+def _passages(rng, n, m):
+    return [[f"i{i}w{rng.randrange(10**9)}" for _ in range(n)] for i in range(m)]
+
+
+def test_decontamination_finds_every_edited_passage(spark):
+    rng = random.Random(6)
+    other = lambda k: [f"o{rng.randrange(10**9)}" for _ in range(k)]
+    items, rows, want = [], [], {}
+    jaccard = lambda a, b: (lambda x, y: sum((x & y).values()) / sum((x | y).values()))(*(collections.Counter(zip(*(w[j:] for j in range(5)), strict=False)) for w in (a, b)))
+    for n, k in ((40, 4), (60, 6), (100, 10), (200, 21)):
+        for item in _passages(rng, n, 60):
+            i = len(items)
+            items.append(item)
+            if i % 3 == 2:  # edits spread over the item, up to a tenth of its words
+                held = list(item)
+                for at in rng.sample(range(n), rng.randint(1, k)):
+                    held[at] = other(1)[0]
+            else:  # the end or the start is replaced
+                held = item[: n - k] + other(k) if i % 3 else other(k) + item[k:]
+            rows.append((i, " ".join(other(30) + held + other(30))))
+            want[i] = jaccard(held, item) >= 0.8 - 1e-9
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.find(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    assert 160 <= sum(want.values()) < len(items) and got == {(i, i) for i, w in want.items() if w}
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
