@@ -83,16 +83,16 @@ class Items:
         found: dict[int, tuple[float, int, int]] = {}
         # (item length) -> places and hashes of the shingles that items of that length hold
         places: dict[int, list[tuple[int, int]]] = {}
-        for k in {min(self.shingle, n) for n in self.groups if n <= len(h)}:
+        for k in {min(self.shingle, n) for n in self.groups}:
             s = shingle_hashes(h, k)
             for at in np.nonzero(self.table[(s >> np.uint64(44)).astype(np.int64)])[0].tolist():
                 x = int(s[at])
                 for n in self.holders.get(x, ()):
-                    if min(self.shingle, n) == k and n <= len(h):
+                    if min(self.shingle, n) == k:
                         places.setdefault(n, []).append((at, x))
         for n, hits in places.items():
             k = min(self.shingle, n)
-            width = n
+            width = min(n, len(h))  # a document shorter than the item is one window
             per = width - k + 1  # shingles of a window
             first, weights = _reach([at for at, _ in hits], [self.weight[x] for _, x in hits], per, len(h) - width)
             passed = np.nonzero(weights >= self.similarity * self.least[n] - 1e-9)[0] + first
@@ -178,7 +178,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, similarity:
     """(doc_id, item_id, similarity, start, n_words): the best window of each document for each item it holds.
 
     Words are lower-cased (A-Z) runs without ASCII white space; an item of fewer words than `shingle` is one
-    shingle. Null and empty items match nothing, null and empty texts hold nothing. Repeated rows and
+    shingle. A document of fewer words than an item is one window for it. Null and empty items match
+    nothing, null and empty texts hold nothing. Repeated rows and
     repeated items each give their own rows. Any size of benchmark is searched, in blocks that fit a task.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -376,6 +376,16 @@ def test_decontamination_finds_every_edited_passage(spark):
     assert 160 <= sum(want.values()) < len(items) and got == {(i, i) for i, w in want.items() if w}
 
 
+def test_decontamination_of_documents_shorter_than_items(spark):
+    items = _passages(random.Random(7), 60, 4)
+    texts = [items[0][:-1], items[1][1:], items[2][:49], items[2][:50], items[3][:4], items[3][:3] + items[3][56:]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start, r.n_words) for r in decontam.find(docs, benchmark).collect()}
+    assert got == {(0, 0): (round(55 / 56, 6), 0, 59), (1, 1): (round(55 / 56, 6), 0, 59), (3, 2): (round(46 / 56, 6), 0, 50), (2, 2): (round(45 / 56, 6), 0, 49)}
+    assert sorted(r.doc_id for r in decontam.clean(docs, benchmark).collect()) == [4, 5]
+
+
 def test_pipeline_small(spark):
     import corpus_pipeline
 
