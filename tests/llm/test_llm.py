@@ -290,6 +290,26 @@ def test_lm_base_model_and_both_ways(spark, odd_docs, monkeypatch):
     assert lm.score(docs.limit(0), path, pattern).count() == 0
 
 
+def test_lm_context_is_learned_from_all_texts(spark):
+    rng = random.Random(8)
+    path, pattern = queries.subword_ranks()
+    cycle = "the river runs under an old stone bridge while seven ships wait for wind "
+    rows = [(i, " ".join(rng.choices(["red", "green", "blue", "white", "black"], k=40))) for i in range(60)] + [(i, cycle * 300) for i in range(60, 80)]  # over 20,000 characters
+    docs = spark.createDataFrame([*rows, *[(i, cycle * 2) for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0], (None, "x"), (90, None)], "doc_id long, text string")
+    training = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    sub, want = lm.subwords(path, pattern), collections.Counter()
+    for _, t in training:
+        ids = [sub.end, *sub.of(t.split())[0].tolist(), sub.end]
+        want.update(zip(ids, ids[1:], strict=False))
+    scored = lm.score(docs, path, pattern).where("doc_id >= 1000 AND held_out").collect()
+    assert len(scored) > 3 and all(r.score > -0.5 * r.n_tokens for r in scored)
+    counted = lm.CorpusPairs(spark.createDataFrame(training, "doc_id long, text string"), path, pattern)
+    assert {divmod(r["pair"], sub.size): r["count"] for r in counted.pairs.collect()} == want
+    inputs, targets = (np.repeat([p[k] for p in want], list(want.values())) for k in (0, 1))
+    alone, cls = attention.Pairs(inputs, targets, sub.size), np.arange(sub.size) % attention.CLASSES
+    assert (counted.totals() == alone.totals()).all() and (counted.next_class(cls) == alone.next_class(cls)).all()
+
+
 def test_attention_scores_each_id_once_from_its_past():
     rng = np.random.default_rng(0)
     counts = np.array([0, 3, 70, 1, 33])
