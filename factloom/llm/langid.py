@@ -100,8 +100,18 @@ def fit(texts: list[str], languages: list[str], *, landmarks: int = 64, ridge: f
     return Model(names, vocabulary, (marks.T @ (root @ ridge_weights)).astype(np.float32))
 
 
-def learn(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_languages: int = 200, longest: int = 100_000, **how) -> Model:
-    """Fit on labelled documents whose crc32(doc_id as text) mod `mod` is not 0.
+def recognised(texts: list[str], languages: list[str], **how) -> float:
+    """The least score of a text in a learned language: midway between 0.5, the score of a text that no
+    language's output speaks for, and the 0.5 % quantile of the scores of a held-out fifth."""
+    held = set(range(0, len(texts), 5))
+    model = fit([t for i, t in enumerate(texts) if i not in held], [x for i, x in enumerate(languages) if i not in held], **how)
+    names, scores = model.score([texts[i] for i in sorted(held)])
+    scores = scores[np.array([n != "und" for n in names], bool)]
+    return 0.5 if not len(scores) else (0.5 + max(0.5, float(np.quantile(scores, 0.005)))) / 2
+
+
+def sampled(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_languages: int = 200, longest: int = 100_000) -> tuple[list[str], list[str]]:
+    """(texts, languages) of labelled documents whose crc32(doc_id as text) mod `mod` is not 0.
 
     The sample is bounded: of each of the `most_languages` most frequent languages, the `per_language`
     documents with the least hash of doc_id, of at most `longest` characters. Rows with a null
@@ -115,7 +125,12 @@ def learn(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_langua
     sample.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     # a fixed shuffle, so that landmarks do not follow doc_id
     order = np.random.default_rng(0).permutation(len(sample))
-    return fit([sample[i]["text"] for i in order], [sample[i]["lang"] for i in order], **how)
+    return [sample[i]["text"] for i in order], [sample[i]["lang"] for i in order]
+
+
+def learn(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_languages: int = 200, longest: int = 100_000, **how) -> Model:
+    """Fit on the sample of `sampled`."""
+    return fit(*sampled(docs, mod=mod, per_language=per_language, most_languages=most_languages, longest=longest), **how)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,6 +158,10 @@ def identify(docs: DataFrame, *, mod: int = 5, **how) -> DataFrame:
     return scored.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), mod) == 0, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, *, least: float = 0.25, **how) -> DataFrame:
-    """The rows of `docs` whose language is recognised with a score of `least` or more, with all their columns."""
-    return predicted(docs, learn(docs, **how)).where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+def keep_known(docs: DataFrame, *, least: float | None = None, **how) -> DataFrame:
+    """The rows of `docs` whose language is recognised with a score of `least` or more (default: that of
+    `recognised`), with all their columns."""
+    sample = sampled(docs, **how)
+    if least is None:
+        least = recognised(*sample)
+    return predicted(docs, fit(*sample)).where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)

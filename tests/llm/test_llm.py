@@ -129,6 +129,16 @@ def test_langid_held_out(spark):
     assert langid.identify(spark.createDataFrame(odd[1:3], EMPTY)).collect()[0].lang_pred == "und"
 
 
+def test_texts_of_no_learned_language_go(spark):
+    rng = random.Random(9)
+    parts = {"aa": ["lo", "mi", "ra", "te", "su"], "bb": ["krz", "wyk", "ost", "jem", "czu"], "cc": ["ou", "eau", "que", "tion", "ai"]}
+    rows = [(i, " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(rng.randint(10, 40))), lang, "s", 0) for i in range(500) for lang in [rng.choice(list(parts))]]
+    noise = lambda abc: " ".join("".join(rng.choices(abc, k=rng.randint(3, 9))) for _ in range(60))
+    odd = [(600 + i, noise(abc), None, "s", 0) for i, abc in enumerate(["абвгдежзийклмнопрстуфхцчшщыьэюя", "あいうえおかきくけこさしすせそ", "abcdefghijklmnopqrstuvwxyz"] * 10)]
+    kept = {r.doc_id for r in langid.keep_known(spark.createDataFrame(rows + odd, EMPTY)).collect()}
+    assert kept == set(range(500))
+
+
 # -- 5
 
 
