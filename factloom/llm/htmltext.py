@@ -4,8 +4,7 @@ Markup is stripped to lines (one block element each). Lines of page furniture (m
 sidebars, notices, adverts, forms, reader comments) and of anything outside a stated article have weight
 0; other lines weigh their text length. Weights are summed over windows of WINDOW lines. Text surges where
 the sums rise from zero and dives where they return to it; between a surge and its dive lies a block of
-text. The heaviest block is the main text, with every other block of at least SHARE of its weight, and all
-blocks if the page states an article.
+text. All blocks are the main text, however light: what is not furniture is not dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 WINDOW = 3
-SHARE = 0.1
 #: Elements whose content is not text.
 _GONE = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe|object|math|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
@@ -89,7 +87,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def main_text(page: str | None, window: int = WINDOW) -> str:
     """The main text, its blocks joined by \\n; empty without text.
 
     White space (also no-break spaces) inside a block becomes one space. A page whose furniture is all its
@@ -106,9 +104,7 @@ def main_text(page: str | None, window: int = WINDOW, share: float = SHARE) -> s
     on = np.concatenate([[False], sums > 0, [False]])
     surge, dive = np.nonzero(on[1:] & ~on[:-1])[0], np.nonzero(~on[1:] & on[:-1])[0]
     blocks = [(int(s), int(d) - window + 1) for s, d in zip(surge, dive, strict=True)]  # first line, line after the last
-    mass = [int(weight[s:e].sum()) for s, e in blocks]
-    keep = [b for b, w in zip(blocks, mass, strict=True) if stated or w >= share * max(mass)]
-    return "\n".join(lines[i][0] for s, e in keep for i in range(s, e) if weight[i])
+    return "\n".join(lines[i][0] for s, e in blocks for i in range(s, e) if weight[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:

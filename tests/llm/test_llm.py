@@ -275,6 +275,12 @@ def test_main_text(spark):
     assert texts[7] == " ".join(["word"] * 50_000) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_light_blocks_of_a_page_without_article_stay():
+    body = [f"Paragraph {i} " + "word " * 60 + "end." for i in range(40)]
+    page = "<body>" + "".join(f"<p>{t}</p>" for t in body) + "<ul class='menu'>" + "<li>advert</li>" * 5 + "</ul><p>Short end.</p></body>"
+    assert htmltext.main_text(page) == "\n".join([*body, "Short end."])
+
+
 # -- 9
 
 
