@@ -28,8 +28,7 @@ def text_of(x: Typed) -> Column:
     """Text as the `%v` of the data model: 100.0 prints 100, times print with their zone."""
     c = x.column
     if x.type == "double":
-        shortest = F.when((F.abs(c) < 1e21) & (c == F.floor(c)), c.cast("decimal(38,0)").cast("string")).otherwise(c.cast("string"))
-        return F.when(F.isnan(c), F.lit("NaN")).otherwise(shortest)
+        return double_text(c)
     if x.type == "time":
         fraction = F.regexp_replace(F.date_format(c, ".SSSSSS"), r"\.?0+$", "")
         return F.concat(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), fraction, F.lit(" +0000 UTC"))
@@ -40,6 +39,26 @@ def text_of(x: Typed) -> Column:
     return c.cast("string")
 
 
+def double_text(c: Column) -> Column:
+    """Shortest digits that read back, as 123.5, or as 1.5e+06 where the exponent is below -4 or above 5."""
+    plain = F.abs(c).cast("string")  # 123.5, or 1.235E10 from 1e7 on and below 1e-3
+    size = F.abs(c)
+    scientific = plain.contains("E")
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"E.*$", ""), r"\.", ""), r"0+$", "")
+    exponent = F.when(scientific, F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")).otherwise(F.lit(6))
+    tail = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 40))).otherwise(F.lit(""))
+    power = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    power = F.when(F.abs(exponent) > 99, F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(exponent).cast("string"))).otherwise(power)
+    body = (
+        F.when(scientific & (exponent == -4), F.concat(F.lit("0.000"), digits))
+        .when(scientific | (size >= 1e6), F.concat(F.substring(digits, 1, 1), tail, power))
+        .otherwise(F.regexp_replace(plain, r"\.0$", ""))
+    )
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    infinite = F.when(c > 0, F.lit("+Inf")).otherwise(F.lit("-Inf"))
+    return F.when(F.isnan(c), F.lit("NaN")).when(size == float("inf"), infinite).otherwise(F.concat(sign, body))
+
+
 def reference(x: Typed) -> Column:
     """`table:key` of a ref; refs of the datom log are text already."""
     table = x.type.removeprefix("ref:")
@@ -47,7 +66,8 @@ def reference(x: Typed) -> Column:
 
 
 def number(x: Typed) -> Typed:
-    """Operand of arithmetic: text is parsed, anything else that is no number is 0."""
+    """Operand of arithmetic: text is parsed (a column of text as doubles, exact to 2^53), anything else that is
+    no number is 0."""
     if x.type in NUMERIC:
         return x
     if x.type in ("string", "keyword"):
@@ -122,12 +142,14 @@ class Registry:
     def __init__(self):
         self.expressions = dict(EXPRESSIONS)
         self.predicates = dict(PREDICATES)
+        self.version = 0
 
     def register(self, name: str, build: Callable[..., Column], *, returns: str | None = None) -> None:
         """`build` takes one Column for each argument. With `returns` (a type) it is an expression, else a predicate.
 
         Any column function will do; a pandas UDF is called in Arrow batches.
         """
+        self.version += 1
         if returns:
             self.expressions[name] = lambda args: Typed(build(*[a.column for a in args]), returns)
         else:

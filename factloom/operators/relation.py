@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..query import AGGREGATES
+from ..query import AGGREGATES, Pattern, Var, parse
 
 
 class Relation:
@@ -30,6 +30,13 @@ class Relation:
             raise ValueError("project needs a column")
         return Relation(self.df.select(*self._need(list(columns))).distinct())
 
+    def project_pattern(self, pattern: Pattern | str) -> Relation:
+        """The columns that a pattern's variables name, in the pattern's order; none: no rows and no columns."""
+        if isinstance(pattern, str):
+            pattern = parse(f"[:find ?_ :where {pattern}]").where[0]
+        wanted = dict.fromkeys(t.column for t in (pattern.e, pattern.a, pattern.v) if isinstance(t, Var) and t.column in self.columns)
+        return self.project(*wanted) if wanted else Relation(self.df.limit(0).select())
+
     def filter(self, test: Column | str) -> Relation:
         return Relation(self.df.where(test))
 
@@ -106,9 +113,10 @@ class Relation:
         return Relation(self.df.agg(*made, F.count(F.lit(1)).alias("__n")).where("__n > 0").drop("__n"))
 
     def aggregate_where(self, group: list[str], fn: str, column: str, where: Column, name: str) -> Relation:
-        """A conditional aggregate: only rows where `where` is true count."""
+        """A conditional aggregate: only rows where `where` is true count; a group without any is left out."""
         value = getattr(F, fn)(F.when(where, F.col(column)))
-        return Relation(self.df.groupBy(*group).agg(value.alias(name)))
+        n = F.count(F.when(where, F.col(column))).alias("__n")
+        return Relation(self.df.groupBy(*group).agg(value.alias(name), n).where("__n > 0").drop("__n"))
 
     def sort(self, *by: str | tuple[str, bool]) -> Relation:
         """Columns, or (column, descending); nulls are least."""

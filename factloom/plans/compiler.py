@@ -10,9 +10,11 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import annotations as notes
 from ..edn import Keyword
 from ..functions.registry import Typed, reference, text_of
 from ..query import Aggregate, Blank, Const, Expression, Pattern, Predicate, Query, QueryError, Subquery, Var, variables
@@ -21,6 +23,8 @@ from . import rewrite
 
 #: Input collections up to this many rows are broadcast.
 BROADCAST_INPUT = 10_000
+#: Values of an input that become a filter on the scans that bind them.
+PUSHED_VALUES = 1000
 
 
 class CartesianProductError(QueryError):
@@ -33,6 +37,7 @@ class Rel:
     types: dict[Var, str]
     key: frozenset[Var]
     free: bool = False  # an input or an uncorrelated subquery: may be multiplied with the rest
+    values: dict[Var, list] | None = None  # all values of an input's variables, if they are few
 
     def typed(self, v: Var) -> Typed:
         return Typed(F.col(v.column), self.types[v])
@@ -76,6 +81,19 @@ def equal(cell: Typed, other: Typed) -> Column:
     return cell.column == other.column
 
 
+def member(cell: Typed, values: list) -> Column:
+    """Whether a stored value is one of some literals; a plain IN where types allow, which scans understand."""
+    kinds = {literal(x).type for x in values}
+    if not values:
+        return F.lit(False)
+    if kinds <= {"long", "double"} and cell.type in ("long", "double") or kinds == {"string"} and cell.type in ("string", "keyword"):
+        return cell.column.isin(values)
+    test = F.lit(False)
+    for x in values:
+        test = test | equal(cell, literal(x))
+    return test
+
+
 def natural_join(a: Rel, b: Rel) -> Rel:
     """Inner join on all shared variables."""
     shared = [v for v in b.types if v in a.types]
@@ -105,8 +123,13 @@ def natural_join(a: Rel, b: Rel) -> Rel:
 class Compiler:
     """Compiles queries against a database (catalog, log, registry, as_of)."""
 
-    def __init__(self, db):
-        self.db = db
+    def __init__(self, db, note: notes.Collector | None = None):
+        self.db, self.note = db, note or notes.Collector()
+
+    def _join(self, a: Rel, b: Rel) -> Rel:
+        shared = [v.name for v in b.types if v in a.types]
+        self.note.add(notes.JOIN if shared else notes.PRODUCT, variables=[v.name for v in {**a.types, **b.types}], on=" ".join(shared))
+        return natural_join(a, b)
 
     # -- sources ---------------------------------------------------------------------------------
 
@@ -144,19 +167,19 @@ class Compiler:
         cells: dict[Var, Typed] = {}
         tests: list[Column] = []
         df = self.db.rows(table)
-        if isinstance(e, Var) and e not in consts:
-            # a row that nothing else refers to needs no id: it is there once
-            cells[e] = Typed(F.lit(1).cast("bigint"), f"ref:{name}") if not table.key and e in alone else table.entity()
-            key = frozenset((e,)) if table.key or e not in alone else None
-        elif isinstance(e, Const):
-            tests.append(table.entity_is(e.value))
-            key = frozenset() if table.key else None
-        elif isinstance(e, Var):
-            tests.append(equal(table.entity(), consts[e]))
-            key = frozenset() if table.key else None
-        else:
+        rows_are_own = isinstance(e, Var) and e not in consts and e in alone and not table.key
+        if isinstance(e, Blank):
             key = None
-        rows_are_own = isinstance(e, Var) and e in alone and not table.key
+        elif rows_are_own:  # a row that nothing else refers to needs no id: it is there once
+            cells[e], key = Typed(F.lit(1).cast("bigint"), f"ref:{name}"), None
+        else:
+            df, entity = table.identified(df)
+            if isinstance(e, Var) and e not in consts:
+                cells[e], key = entity, frozenset((e,))
+            else:
+                tests.append(table.entity_is(entity.column, e.value) if isinstance(e, Const) else equal(entity, consts[e]))
+                key = frozenset()
+        self.note.add(notes.SCAN, table=name, patterns=len(patterns), variables=[t.name for t in dict.fromkeys(t for p in patterns for t in p.terms() if isinstance(t, Var))])
         for p in patterns:
             cell = self.db.catalog.find(str(p.a.value))[1]
             tests.append(cell.column.isNotNull())
@@ -170,10 +193,11 @@ class Compiler:
 
     def _log(self, p: Pattern, consts: dict[Var, Typed]) -> Rel:
         """One pattern over the datom log, or over all tables as datoms if there is no log."""
-        df = self.db.datoms() if self.db.log else self._unpivoted(p, consts)
+        attribute = str(p.a.value) if isinstance(p.a, Const) else consts[p.a] if p.a in consts else None
+        df = self.db.datoms(attribute if isinstance(attribute, str) else None) if self.db.log else self._unpivoted(p, consts)
+        self.note.add(notes.LOG, table="facts", variables=[t.name for t in p.terms() if isinstance(t, Var)])
         cells: dict[Var, Typed] = {}
         tests: list[Column] = []
-        attribute = str(p.a.value) if isinstance(p.a, Const) else consts[p.a] if p.a in consts else None
         if isinstance(attribute, Typed):
             tests.append(F.col("a") == attribute.column)
             attribute = None
@@ -194,10 +218,10 @@ class Compiler:
         out = None
         for name in names:
             table = self.db.catalog.tables[name]
-            df = self.db.rows(table)
+            df, own = table.identified(self.db.rows(table))
             facts = F.array(*[F.struct(F.lit(f":{name}/{a}").alias("a"), tagged(table.attribute(a)).alias("v")) for a in table.attributes() if table.attribute(a).type != "opaque"])
             tx = self.db.table_tx(table).column if table.tx else F.lit(None).cast("bigint")
-            entity = F.concat(F.lit(f"{name}:"), table.entity().column.cast("string"))
+            entity = F.concat(F.lit(f"{name}:"), own.column.cast("string"))
             part = df.select(entity.alias("e"), tx.alias("tx"), F.explode(facts).alias("f")).select("e", "f.a", "f.v", "tx")
             part = part.where(F.coalesce(*[F.col(f"v.{s}").cast("string") for s in ("s", "i", "d", "b", "ts")], F.hex("v.bin")).isNotNull())
             out = part if out is None else out.unionByName(part)
@@ -297,6 +321,8 @@ class Compiler:
         for f in q.find:
             if isinstance(f, Var) or f.fn != "count":
                 used[f if isinstance(f, Var) else f.var] = 9
+            if isinstance(f, Aggregate) and f.where:
+                used[f.where] = 9
         for v in (*keep, *(v for v, _ in q.order_by), *(v for s in starts for v in s.types)):
             used[v] = 9
         alone = {v for v, n in used.items() if n == 1}
@@ -306,6 +332,7 @@ class Compiler:
                 rels.append(self._scan(e, table, ps, consts, alone))
             else:
                 rels += [self._log(p, consts) for p in ps]
+        rels = self._pushed(starts, rels)
         rels = self._collapse(rels)
         todo: list = [c for c in q.where if not isinstance(c, Pattern)]
         for c in rewrite.time_ranges(q):
@@ -319,6 +346,21 @@ class Compiler:
             rels[:] = self._collapse(rels)
         return self._find(q, rels, consts, keep)
 
+    def _pushed(self, starts: list[Rel], rels: list[Rel]) -> list[Rel]:
+        """Few input values become filters on what binds them; a collection that is bound needs no join then."""
+        for s in starts:
+            if s.values is None:
+                continue
+            bound = False
+            for v, values in s.values.items():
+                for i, r in enumerate(rels):
+                    if r is not s and v in r.types and r.values is None:
+                        rels[i] = replace(r, df=r.df.where(member(r.typed(v), values)))
+                        bound = True
+            if bound and len(s.types) == 1:
+                rels = [r for r in rels if r is not s]
+        return rels
+
     def _collapse(self, rels: list[Rel]) -> list[Rel]:
         """Natural joins until no two relations share a variable."""
         out: list[Rel] = []
@@ -330,7 +372,7 @@ class Compiler:
                 moved = False
                 for i, r in enumerate(rest):
                     if set(r.types) & set(now.types):
-                        now = natural_join(now, rest.pop(i))
+                        now = self._join(now, rest.pop(i))
                         moved = True
                         break
             out.append(now)
@@ -377,7 +419,7 @@ class Compiler:
             return None
         now = held[0]
         for r in held[1:]:
-            now = natural_join(now, r)
+            now = self._join(now, r)
         rels[:] = [r for r in rels if not any(r is h for h in held)] + [now]
         return now
 
@@ -421,22 +463,22 @@ class Compiler:
         if outer is None:
             rels.append(found)
         else:
-            self._replace(outer, natural_join(outer, found), rels)
+            self._replace(outer, self._join(outer, found), rels)
 
     # -- results ---------------------------------------------------------------------------------
 
     def _find(self, q: Query, rels: list[Rel], consts: dict[Var, Typed], keep: tuple[Var, ...]) -> tuple[DataFrame, list[str], list[str]]:
         for f in q.find:
-            v = f if isinstance(f, Var) else f.var
-            if v not in consts and not any(v in r.types for r in rels):
-                raise QueryError(f"nothing binds {v.name} of :find")
+            for v in (f,) if isinstance(f, Var) else (f.var, f.where) if f.where else (f.var,):
+                if v not in consts and not any(v in r.types for r in rels):
+                    raise QueryError(f"nothing binds {v.name} of :find")
         solid = [r for r in rels if not r.free]
         if len(solid) > 1:
             raise CartesianProductError("these groups share no variable and no clause links them: " + "; ".join(", ".join(v.name for v in r.types) for r in solid))
         rels = solid + [r for r in rels if r.free]
         rel = rels[0]
         for r in rels[1:]:
-            rel = natural_join(rel, r)
+            rel = self._join(rel, r)
         kept = [self._value(v, rel, consts) for v in keep]
         cells = [self._value(f if isinstance(f, Var) else f.var, rel, consts) for f in q.find]
         named = [x.column.alias(v.column) for v, x in zip(keep, kept, strict=True)]
@@ -444,11 +486,18 @@ class Compiler:
         if any(isinstance(f, Aggregate) for f in q.find):
             groups = [*named, *[x.column.alias(f"__f{i}") for i, (f, x) in enumerate(zip(q.find, cells, strict=True)) if isinstance(f, Var)]]
             aggregates = []
+            some = F.lit(False)
+            self.note.add(notes.AGGREGATION, functions=" ".join(f.column for f in q.find if isinstance(f, Aggregate)), groups=len(groups))
             for i, (f, x) in enumerate(zip(q.find, cells, strict=True)):
                 if isinstance(f, Var):
                     continue
                 if f.fn in ("sum", "avg") and x.type not in ("long", "double", "any"):
                     raise QueryError(f"{f.fn} of {f.var.name}, which is no number")
+                if f.where:
+                    flag = self._value(f.where, rel, consts)
+                    flag = flag.column["b"] if flag.type == "any" else flag.column if flag.type == "bool" else F.lit(False)
+                    x = Typed(F.when(flag, x.column), x.type)
+                some = some | (F.count(x.column) > 0)
                 value = x.column if x.type != "any" else F.coalesce(x.column["i"].cast("double"), x.column["d"])
                 made = {
                     "count": lambda v=value, x=x: F.count(x.column),
@@ -462,6 +511,9 @@ class Compiler:
                 types[i] = {"count": "long", "count-distinct": "long", "sum": "double", "avg": "double"}.get(f.fn, x.type)
             # a global aggregate of nothing is no row
             df = rel.df.groupBy(*groups).agg(*aggregates) if groups else rel.df.agg(*aggregates, F.count(F.lit(1)).alias("__n")).where("__n > 0")
+            if any(isinstance(f, Aggregate) and f.where for f in q.find):  # a group in which no condition held is no row
+                tested = rel.df.groupBy(*groups).agg(*aggregates, some.alias("__some")) if groups else rel.df.agg(*aggregates, some.alias("__some"))
+                df = tested.where("__some")
             df = df.select(*[v.column for v in keep], *[f"__f{i}" for i in range(len(q.find))])
         else:
             df = rel.df.select(*named, *[x.column.alias(f"__f{i}") for i, x in enumerate(cells)])
@@ -518,8 +570,20 @@ class Compiler:
             raise QueryError(f"rows of {len(spec.vars)} values are wanted")
         kinds = [{literal(r[i]).type for r in rows} for i in range(len(spec.vars))]
         types = [next(iter(k)) if len(k) == 1 else "double" if k == {"long", "double"} else "string" for k in kinds]
-        ddl = {"long": "bigint", "double": "double", "bool": "boolean", "time": "timestamp_ntz", "binary": "binary"}
-        cast = {"double": float, "string": str, "keyword": str}
-        schema = ", ".join(f"`{v.column}` {ddl.get(t, 'string')}" for v, t in zip(spec.vars, types, strict=True))
-        df = self.db.spark.createDataFrame([tuple(cast.get(t, lambda x: x)(x) for x, t in zip(r, types, strict=True)) for r in rows], schema).distinct()
-        return Rel(F.broadcast(df) if len(rows) <= BROADCAST_INPUT else df, dict(zip(spec.vars, types, strict=True)), frozenset(spec.vars), free=True)
+        rows = list(dict.fromkeys(tuple(_plain(x, t) for x, t in zip(r, types, strict=True)) for r in rows))
+        arrow = {"long": pa.int64(), "double": pa.float64(), "bool": pa.bool_(), "time": pa.timestamp("us"), "binary": pa.binary()}
+        schema = pa.schema([(v.column, arrow.get(t, pa.string())) for v, t in zip(spec.vars, types, strict=True)])
+        # an Arrow table becomes a local relation: no Python worker, no shuffle
+        columns = list(zip(*rows, strict=True)) or [()] * len(spec.vars)
+        df = self.db.spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema))
+        values = {v: list(dict.fromkeys(r[i] for r in rows)) for i, v in enumerate(spec.vars)} if len(rows) <= PUSHED_VALUES else None
+        return Rel(F.broadcast(df) if len(rows) <= BROADCAST_INPUT else df, dict(zip(spec.vars, types, strict=True)), frozenset(spec.vars), free=True, values=values)
+
+
+def _plain(x: object, kind: str) -> object:
+    """A Python value as Arrow wants it for a column of this type."""
+    if kind == "double":
+        return float(x)
+    if kind == "time" and x.tzinfo:
+        return x.astimezone(dt.UTC).replace(tzinfo=None)
+    return str(x) if kind in ("string", "keyword") or kind.startswith("ref:") else x

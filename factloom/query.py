@@ -74,10 +74,11 @@ class Subquery:
 class Aggregate:
     fn: str
     var: Var
+    where: Var | None = None  # only rows where this is true count
 
     @property
     def column(self) -> str:
-        return f"{self.fn.replace('-', '_')}_{self.var.column}"
+        return f"{self.fn.replace('-', '_')}_{self.var.column}" + (f"_if_{self.where.column}" if self.where else "")
 
 
 @dataclass(frozen=True)
@@ -121,11 +122,12 @@ def _find(x: Any) -> Var | Aggregate:
     if _var(x):
         return Var(str(x))
     if isinstance(x, EList):
-        if len(x) != 2 or not _var(x[1]):
+        conditional = len(x) == 4 and x[2] == Keyword(":if") and _var(x[3])
+        if not (len(x) == 2 or conditional) or not _var(x[1]):
             raise QueryError(f"an aggregate takes one variable: {edn.write(x)}")
         if x[0] not in AGGREGATES:
             raise QueryError(f"unknown aggregate {x[0]}; known: {', '.join(AGGREGATES)}")
-        return Aggregate(str(x[0]), Var(str(x[1])))
+        return Aggregate(str(x[0]), Var(str(x[1])), Var(str(x[3])) if conditional else None)
     raise QueryError(f"cannot find {edn.write(x)}")
 
 
@@ -262,7 +264,7 @@ def format_query(q: Query, indent: int = 0) -> str:
     pad = "\n" + " " * (indent + 1)
     names = lambda vs: " ".join(v.name for v in vs)
     kinds = {"database": lambda i: "$", "scalar": lambda i: names(i.vars), "collection": lambda i: f"[{names(i.vars)} ...]", "tuple": lambda i: f"[[{names(i.vars)}]]", "relation": lambda i: f"[[{names(i.vars)}] ...]"}
-    out = "[:find " + " ".join(f.name if isinstance(f, Var) else f"({f.fn} {f.var.name})" for f in q.find)
+    out = "[:find " + " ".join(f.name if isinstance(f, Var) else f"({f.fn} {f.var.name}{f' :if {f.where.name}' if f.where else ''})" for f in q.find)
     if q.inputs != (Input("database"),):
         out += pad + ":in " + " ".join(kinds[i.kind](i) for i in q.inputs)
     out += pad + ":where " + (pad + " " * 7).join(_clause_text(c, indent + 8) for c in q.where)

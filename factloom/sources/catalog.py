@@ -59,13 +59,30 @@ class Table:
             return Typed(typed(self.df, self.key[0]).column, f"ref:{self.name}")
         if self.key:
             return Typed(F.concat_ws("/", *[F.col(k).cast("string") for k in self.key]), f"ref:{self.name}")
-        return Typed(F.sha1(F.to_json(F.struct(*self.df.columns), {"ignoreNullFields": "false"})), f"ref:{self.name}")
+        raise QueryError(f"rows of {self.name} have no key: see identified")
 
-    def entity_is(self, value: object) -> Column:
+    def identified(self, df: DataFrame) -> tuple[DataFrame, Typed]:
+        """`df`, rows of this table, with a column for each row's entity.
+
+        A row without a key is an entity of its own: its id is a hash of the row, and equal rows are numbered
+        (`/2`, `/3`, ...). They are counted before they are numbered, so no task holds more than one of them
+        at a time, however many there are.
+        """
+        if self.key:
+            return df, self.entity()
+        columns = [F.col(f"`{c}`") for c in df.columns]
+        counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
+        step = F.lit(1 << 16).cast("long")
+        blocks = counted.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / step))))
+        numbered = blocks.withColumn("__i", F.explode(F.sequence(F.col("__b") * step + 1, F.least("__n", (F.col("__b") + 1) * step))))
+        own = F.sha1(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+        text = F.when(F.col("__i") == 1, own).otherwise(F.concat(own, F.lit("/"), F.col("__i").cast("string")))
+        return numbered, Typed(text, f"ref:{self.name}")
+
+    def entity_is(self, entity: Column, value: object) -> Column:
         """Test for a stated entity: `table:key`, or the key itself."""
         if isinstance(value, str) and value.startswith(self.name + ":"):
             value = value[len(self.name) + 1 :]
-        entity = self.entity().column
         return entity == F.lit(value) if not isinstance(value, str) or len(self.key) != 1 else entity.cast("string") == F.lit(value)
 
 
@@ -106,13 +123,22 @@ _STAR = {
 }
 
 
+#: Schemas of the files that were opened before.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def star(spark: SparkSession, folder: str) -> Catalog:
     """The catalog over the Parquet tables of a folder; files are opened when a query names their table."""
 
     class Lazy(dict):
         def __missing__(self, name: str) -> Table:
             key, prefix, refs = _STAR[name]
-            df = spark.read.parquet(f"{folder}/{name}.parquet")
+            path = f"{folder}/{name}.parquet"
+            if path in _SCHEMAS:  # footers are read once a path
+                df = spark.read.schema(_SCHEMAS[path]).parquet(path)
+            else:
+                df = spark.read.parquet(path)
+                _SCHEMAS[path] = df.schema
             # rows of events are in the order of time: their transaction is the microsecond
             self[name] = Table(name, df, key, prefix, refs, tx="ts" if name == "events" else None)
             return self[name]

@@ -25,10 +25,27 @@ def table_stream(spark: SparkSession, name: str, path: str, like: DataFrame, *,
     return Table(name, stream, key, prefix)
 
 
-def standing(spark: SparkSession, query: str | Query, tables: list[Table], sink: str, *inputs, mode: str = "append") -> StreamingQuery:
-    """Start `query` over the tables into the memory sink `sink`."""
+def standing(spark: SparkSession, query: str | Query, tables: list[Table], sink: str, *inputs, mode: str = "append", once: bool = False) -> StreamingQuery:
+    """Start `query` over the tables into the memory sink `sink`; with `once`, until all that is there is read."""
+    writer = Database(spark, Catalog(tables)).q(query, *inputs).writeStream.outputMode(mode).format("memory").queryName(sink)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def into_memory(df: DataFrame, sink: str, mode: str) -> None:
+    """Read all that is there of a stream into the table `sink` on the driver: for small aggregates."""
+    df.writeStream.outputMode(mode).format("memory").queryName(sink).trigger(availableNow=True).start().awaitTermination()
+
+
+def into_files(df: DataFrame, path: str) -> None:
+    """Append all that is there of a stream to Parquet files under `path`; its checkpoints lie beside them."""
+    df.writeStream.outputMode("append").format("parquet").option("checkpointLocation", path + "-state").trigger(availableNow=True).start(path).awaitTermination()
+
+
+def drained(spark: SparkSession, query: str | Query, tables: list[Table], path: str, *inputs) -> DataFrame:
+    """The rows that a standing query in append mode has written under `path` once all that is there is read."""
     df = Database(spark, Catalog(tables)).q(query, *inputs)
-    return df.writeStream.outputMode(mode).format("memory").queryName(sink).start()
+    into_files(df, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def windowed(stream: DataFrame, time: str, width: str, group: list[str], value: str, slide: str | None = None) -> DataFrame:
