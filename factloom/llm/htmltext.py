@@ -63,6 +63,8 @@ _IMPLIED = {
     "a": (("a",), ("td", "th", "table")),
     "p": (("p",), ("button", "td", "th")),
 }
+#: What lies in a row or in a part of a table.
+_CELLS = frozenset("tr td th caption".split())
 #: Elements out of which a stray end tag does not reach.
 _BARRIERS = frozenset("td th table caption button object template".split())
 _TABLE = frozenset("table tbody thead tfoot tr td th caption".split())
@@ -214,15 +216,16 @@ class Lines:
         """Close the outermost open element of `ended` that is not beyond one of `beyond`."""
         if not any(self._n[n] for n in ended):
             return
-        found = None
-        for x in reversed(self._stack):
+        many = 0
+        for n, x in enumerate(reversed(self._stack), 1):
             if x.name in beyond:
                 break
             if x.name in ended:
-                found = x
-        if found is not None:
-            while found in self._stack:
-                self._pop_to(self._stack[-1].name)
+                many = n
+                if x.name not in _CELLS or x.name == ended[0]:
+                    break  # the others are inside it
+        for _ in range(many):
+            self._pop_to(self._stack[-1].name)
 
     def _start(self, name: str, attributes: str) -> None:
         if self._n["head"] and name not in _IN_HEAD and name != "head":
