@@ -10,15 +10,19 @@ sums a source and task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, cut, word_count
+from .common import broadcast_if, cut, free, word_count
 
 DIGIT_BITS = 15
 LEVELS = 4  # 4 x 15 = the 60 bits of the hash
 #: Up to so many sources, per-source tables are broadcast (about 100 bytes a source).
 BROADCAST_SOURCES = 100_000
+#: Sources that one task puts in order.
+RANGE = 100_000
 
 
 def hash60(doc_id: Column, text: Column) -> Column:
@@ -27,40 +31,61 @@ def hash60(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _ranked(sizes: DataFrame, n: int) -> DataFrame:
+    """`sizes` with the rank (from 0) of each source by code point, null last: sorted in ranges of about RANGE
+    sources, whose numbers are added up on the driver."""
+    order = [F.col("source").isNull(), F.col("source")]
+    ranges = max(1, -(-n // RANGE))
+    spread = sizes.repartitionByRange(ranges, *order) if ranges > 1 else sizes.repartition(1)
+    place = F.monotonically_increasing_id()  # partition << 33 | row
+    placed = cut(spread.sortWithinPartitions(*order).select("source", "source_size", F.shiftright(place, 33).cast("int").alias("p"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("i")))
+    offset = F.create_map(*_pairs(placed)) if ranges > 1 else None
+    return placed.select("source", "source_size", (F.col("i") if offset is None else F.col("i") + offset[F.col("p")]).alias("rank"))
+
+
+def _pairs(placed: DataFrame) -> list[Column]:
+    """partition, rows before it, ... as literals."""
+    out, before = [], 0
+    for r in sorted(placed.groupBy("p").count().collect()):
+        out += [F.lit(r["p"]), F.lit(before).cast("long")]
+        before += r["count"]
+    return out
+
+
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) -> + target: `share` of all sizes split by weight, no source above `most` times its size.
 
-    Weights repeat over the sources in code-point order, null last. Sources are filled in the order in
-    which they reach their cap, so the excess of the capped is shared by the rest by weight.
+    Weights repeat over the sources in code-point order, null last. A level starts at the share of a unit of
+    weight and rises while sources below it are held at their cap and the rest share what is left; sizes and
+    weights are whole numbers, so sums of up to 2^53 are exact in any order. No window spans all sources.
     """
-    every = Window.orderBy(F.col("source").isNull(), "source")
+    sizes = cut(sizes)
+    whole = sizes.agg(F.count("*").alias("n"), F.sum("source_size").alias("size")).first()
+    if not whole["n"]:
+        return sizes.select("source", "source_size", F.lit(0.0).alias("target"))
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("rank", F.row_number().over(every)).withColumn("w", F.element_at(ws, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("w"))
-    by_ratio = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    onward = Window.orderBy("ratio", "rank").rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    left = F.sum("source_size").over(whole) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(by_ratio), F.lit(0.0))
-    filled = ranked.withColumn("level", left / F.sum("w").over(onward)).withColumn("open", F.col("ratio") > F.col("level"))
-    final = F.min_by(F.when(F.col("open"), F.col("level")), F.when(F.col("open"), F.struct("ratio", "rank"))).over(whole)
-    return filled.withColumn("target", F.when(F.col("open"), F.col("w") * final).otherwise(F.col("cap"))).select("source", "source_size", "target")
+    ranked = _ranked(sizes, whole["n"]).select("source", "source_size", F.element_at(ws, (F.col("rank") % len(weights) + 1).cast("int")).alias("w"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
+    budget, level, held = whole["size"] * float(share), None, -1
+    while True:
+        capped = F.lit(False) if level is None else F.col("cap") / F.col("w") <= F.lit(level)
+        sums = ranked.agg(F.count_if(capped).alias("held"), F.sum(F.when(capped, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(capped, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if sums["held"] == held or not sums["w"]:
+            break
+        level, held = (budget - sums["cap"]) / sums["w"], sums["held"]
+    target = F.col("cap") if not sums["w"] else F.when(F.col("cap") / F.col("w") <= F.lit(level), F.col("cap")).otherwise(F.col("w") * F.lit(level))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def _same_source(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.join(right.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    name = free(left, "_s")[0]
+    return left.join(right.withColumnRenamed("source", name), F.col("source").eqNullSafe(F.col(name))).drop(name)
 
 
-def copies(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """How often the mix takes each document.
+def limits(slim: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, int]:
+    """(source, source_size, target, base, limit), one row a source, and their number, from `slim` (source, size, hash).
 
-    `docs` needs doc_id, text, source; other columns are ignored (but for those in `carry`). Returns
-    doc_id, size, source_size, target, copies, hash, one row per input row.
-
-    Null text has size 0; a null source is a source of its own; a null doc_id is hashed by its text;
-    repeated rows have one hash and are taken or left together. The document on which a budget ends is taken
-    if that brings the source nearer its target. An empty table gives an empty result.
+    A document is taken `base` times, and once more if its hash is up to `limit`.
     """
-    slim = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("hash"), *carry))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = cut(
         source_targets(sizes, weights, share, most)
@@ -88,23 +113,47 @@ def copies(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: floa
             )
         )
     nearer = F.col("before") + F.col("at") - F.col("budget") < F.col("budget") - F.col("before")
-    limits = state.select("source", "source_size", "target", "base", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit"))
-    mixed = _same_source(slim, broadcast_if(limits, n_sources, BROADCAST_SOURCES))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("base") + (F.col("hash") <= F.col("limit")).cast("long")).alias("copies"), "hash", *carry)
+    return state.select("source", "source_size", "target", "base", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit")), n_sources
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id"), F.col("text")).alias("hash")))
+
+
+def _times(hash_: Column, base: Column, limit: Column, most: float) -> Column:
+    """A text without words may have a hash below the limit of a source that is at its cap already."""
+    return F.least(base + (hash_ <= limit).cast("long"), F.lit(math.ceil(most)).cast("long"))
+
+
+def copies(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """How often the mix takes each document.
+
+    `docs` needs doc_id, text, source; other columns are ignored. Returns doc_id, size, source_size, target, copies,
+    hash, one row per input row.
+
+    Null text has size 0; a null source is a source of its own; a null doc_id is hashed by its text;
+    repeated rows have one hash and are taken or left together. The document on which a budget ends is taken
+    if that brings the source nearer its target. No document is taken more than `most` times (rounded up). A
+    source without words has no target and is not taken. An empty table gives an empty result.
+    """
+    slim = _slim(docs)
+    found, n = limits(slim, weights=weights, share=share, most=most)
+    mixed = _same_source(slim, broadcast_if(found, n, BROADCAST_SOURCES))
+    return mixed.select("doc_id", "size", "source_size", "target", _times(F.col("hash"), F.col("base"), F.col("limit"), most).alias("copies"), "hash")
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it, with all their columns.
 
-    The counts are found on slim rows and joined back by doc_id and a hash of text and source.
+    The limits, one small row a source, go to the documents: whole texts are not shuffled (beyond
+    BROADCAST_SOURCES sources Spark may join by shuffle).
     """
-    key = "_mix_key"
-    keyed = docs.withColumn(key, F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"), F.xxhash64("text", "source").alias("h")))
-    taken = copies(keyed.select("doc_id", "text", "source", key), carry=(key,), **how)
-    # rows of one key are alike in all that decides their count
-    counts = taken.groupBy(key).agg(F.first("copies").alias("_mix_copies")).where("_mix_copies > 0")
-    joined = keyed.join(counts.hint("shuffle_hash"), key)
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_mix_copies"))).select(*docs.columns)
+    found, n = limits(_slim(docs), weights=weights, share=share, most=most)
+    source, base, limit, copy = free(docs, "_mix_source", "_mix_base", "_mix_limit", "_mix_copy")
+    per_source = found.select(F.col("source").alias(source), F.col("base").alias(base), F.col("limit").alias(limit))
+    joined = docs.join(broadcast_if(per_source, n, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col(source)))
+    times = _times(hash60(F.col("doc_id"), F.col("text")), F.col(base), F.col(limit), most)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
