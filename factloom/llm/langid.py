@@ -15,36 +15,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bucket_of, cut, small_batches
+from .common import bucket_of, free, small_batches
 
-#: Letters fall into 63 classes (a to z, then hashed); all else is class 0, a word boundary.
-SPACE = 64 + 64**2 + 64**3
+#: N-grams of lower-case letters are hashed to so many places; two of a text share one with a chance of n / SPACE.
+SPACE = 1 << 20
+_BOUNDARY = 1  # all that is no letter; no letter has this code point
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _tables: list[np.ndarray] = []
 
 
-def classes_of() -> np.ndarray:
-    """Class of every code point; built once a process."""
+def lower_letters() -> np.ndarray:
+    """Of every code point, that of its lower-case letter, or _BOUNDARY; built once a process."""
     if not _tables:
-        table = np.zeros(0x110000, np.uint32)
+        table = np.full(0x110000, _BOUNDARY, np.uint64)
         for c in range(0x110000):
             ch = chr(c)
             if ch.isalpha():
-                low = ord(ch.lower()[0])
-                table[c] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 & 0xFFFFFFFF) % 37
+                table[c] = ord(ch.lower()[0])
         _tables.append(table)
     return _tables[0]
 
 
 def grams(text: str) -> np.ndarray:
-    """Codes of the 1-, 2- and 3-grams of a whole text, with repeats; empty without letters."""
-    a = classes_of()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    if not a.any():
+    """Places of the 1-, 2- and 3-grams of a whole text, with repeats; empty without letters."""
+    a = lower_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    letter = a != _BOUNDARY
+    if not letter.any():
         return np.zeros(0, np.uint32)
-    a = np.concatenate([[np.uint32(0)], a, [np.uint32(0)]])
-    a = a[np.concatenate([[True], (a[1:] != 0) | (a[:-1] != 0)])].astype(np.uint32)
-    pairs = (a[:-1] << np.uint32(6)) | a[1:]
-    return np.concatenate([a, 64 + pairs, 64 + 64**2 + ((pairs[:-1] << np.uint32(6)) | a[2:])])
+    edge = np.full(1, _BOUNDARY, np.uint64)
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # one boundary for a run of them
+    a = np.concatenate([edge, a[keep], edge])
+    pairs = (a[:-1] << np.uint64(21)) | a[1:]
+    exact = np.concatenate([a, pairs, (pairs[:-1] << np.uint64(21)) | a[2:]])
+    exact ^= exact >> np.uint64(29)
+    return ((exact * _ODD) >> np.uint64(44)).astype(np.uint32)
 
 
 @dataclass
@@ -110,42 +117,52 @@ def recognised(texts: list[str], languages: list[str], **how) -> float:
     return 0.5 if not len(scores) else (0.5 + max(0.5, float(np.quantile(scores, 0.005)))) / 2
 
 
-def sampled(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_languages: int = 200, longest: int = 100_000) -> tuple[list[str], list[str]]:
+def sampled(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_docs: int = 4000, most_languages: int = 200, longest: int = 20_000) -> tuple[list[str], list[str]]:
     """(texts, languages) of labelled documents whose crc32(doc_id as text) mod `mod` is not 0.
 
-    The sample is bounded: of each of the `most_languages` most frequent languages, the `per_language`
-    documents with the least hash of doc_id, of at most `longest` characters. Rows with a null
-    doc_id, text or lang are not learned from.
+    The sample is bounded by documented parameters: the `most_languages` languages with the most documents (all
+    are counted, approximately where a doc_id repeats), of each up to `per_language` documents, but `most_docs` in all, of
+    at most `longest` characters each. Documents are chosen by a hash of doc_id; equal rows are one. Rows with a
+    null doc_id, text or lang are not learned from.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (bucket_of(F.col("doc_id"), mod) != 0) & (F.length("text") <= longest)).select("doc_id", "lang")
-    ranked = rows.withColumn("h", F.xxhash64("doc_id")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("r") <= per_language)
-    ids = cut(ranked.select("doc_id", "lang", "h"))
-    common = [r["lang"] for r in ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(ids.where(F.col("lang").isin(common)).select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL").collect()
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (bucket_of(F.col("doc_id"), mod) != 0) & (F.length("text") <= longest)).select("doc_id", "lang", "text")
+    common = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    if not common:
+        return [], []
+    each = max(1, min(per_language, most_docs // len(common)))
+    # a hash below a language's limit is that of about 2 * each of its documents
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    limit_of = F.create_map(*[F.lit(x) for r in common for x in (r["lang"], int(min(1.0, (2 * each + 30) / max(1, r["n"])) * (1 << 32)))])
+    some = rows.where(low < limit_of[F.col("lang")])
+    one = some.groupBy("lang", "doc_id", F.xxhash64("text").alias("t")).agg(F.min("text").alias("text"))
+    ranked = one.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))).where(F.col("r") <= each)
+    sample = ranked.select("doc_id", "lang", "text").collect()
     sample.sort(key=lambda r: (r["lang"], r["doc_id"], r["text"]))
     # a fixed shuffle, so that landmarks do not follow doc_id
     order = np.random.default_rng(0).permutation(len(sample))
     return [sample[i]["text"] for i in order], [sample[i]["lang"] for i in order]
 
 
-def learn(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_languages: int = 200, longest: int = 100_000, **how) -> Model:
-    """Fit on the sample of `sampled`."""
-    return fit(*sampled(docs, mod=mod, per_language=per_language, most_languages=most_languages, longest=longest), **how)
+def learn(docs: DataFrame, *, mod: int = 5, sample: dict | None = None, **how) -> Model:
+    """Fit on the sample of `sampled` (whose parameters `sample` holds)."""
+    return fit(*sampled(docs, mod=mod, **(sample or {})), **how)
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs`, then _lang_pred and _score."""
+def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
+    """All columns of `docs`, then the predicted language and its score; and the names of these two columns."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
+    lang, score = free(docs, "_lang_pred", "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
                 names, scores = model.score(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, lang, score])
 
-    return docs.mapInArrow(run, f"{docs.schema.toDDL()}, _lang_pred string, _score double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(run, schema), lang, score
 
 
 def identify(docs: DataFrame, *, mod: int = 5, **how) -> DataFrame:
@@ -154,14 +171,15 @@ def identify(docs: DataFrame, *, mod: int = 5, **how) -> DataFrame:
     Null doc_ids are not held out and not learned from. Without labelled documents all are `und`.
     """
     model = learn(docs, mod=mod, **how)
-    scored = predicted(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), mod) == 0, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    scored, lang, score = predicted(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), mod) == 0, F.lit(False)).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
-def keep_known(docs: DataFrame, *, least: float | None = None, **how) -> DataFrame:
+def keep_known(docs: DataFrame, *, least: float | None = None, sample: dict | None = None, **how) -> DataFrame:
     """The rows of `docs` whose language is recognised with a score of `least` or more (default: that of
     `recognised`), with all their columns."""
-    sample = sampled(docs, **how)
+    seen = sampled(docs, **(sample or {}))
     if least is None:
-        least = recognised(*sample)
-    return predicted(docs, fit(*sample)).where((F.col("_lang_pred") != "und") & (F.col("_score") >= least)).select(*docs.columns)
+        least = recognised(*seen, **how)
+    scored, lang, score = predicted(docs, fit(*seen, **how))
+    return scored.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

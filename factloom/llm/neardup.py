@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import broadcast_if, cut, small_batches
+from .common import broadcast_if, cut, free, small_batches
 from .decontam import shingle_hashes, word_hashes
 from .graph import components
 from .tokens import split_words, spread
@@ -199,9 +199,9 @@ def dedup(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, radius:
     prints, groups = _groups(docs, shingle, similarity, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), "_k0", "_k1"))
     chosen = prints.distinct().join(groups, "cid").groupBy("component").agg(first.alias("r"))
-    names = ["_neardup_i", "_neardup_n", "_neardup_0", "_neardup_1"]
+    names = free(docs, "_neardup_i", "_neardup_n", "_neardup_0", "_neardup_1")
     stays = cut(chosen.select(*(c.alias(k) for c, k in zip((F.coalesce("r.i", F.lit(0)), F.col("r.n"), F.col("r._k0"), F.col("r._k1")), names, strict=True))))
     marked = docs.withColumns(dict(zip(names, (F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), *_text_key()), strict=True)))
     kept = marked.join(stays.hint("shuffle_hash"), names, "left_semi")
     repeated = prints.groupBy("doc_id", "_k0", "_k1").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(names) if repeated else kept).select(*docs.columns)
+    return (kept.dropDuplicates(names) if repeated else kept).select(*[F.col(f"`{c}`") for c in docs.columns])

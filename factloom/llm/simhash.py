@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import broadcast_if, cut, small_batches
+from .common import broadcast_if, cut, free, small_batches
 from .graph import components
 
 CELL = 2048
@@ -252,22 +253,21 @@ def dedup(docs: DataFrame, *, shingle: int = 4, radius: int = 4) -> DataFrame:
 
     Rows of one doc_id and fingerprint are copies: one of them stays.
     """
-    key = "_simhash_"
+    mark_i, mark_n, mark_fp = on = free(docs, "_simhash_i", "_simhash_n", "_simhash_fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()
             values = np.array([fingerprint(t, shingle) if t else 0 for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=[*b.schema.names, key + "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values)], names=[*b.schema.names, mark_fp])
 
     small_batches(docs.sparkSession)
     prints = cut(with_fingerprint(docs, shingle))
     groups = labelled(prints, radius)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("fp")))
-    stays = cut(prints.select("doc_id", "fp").distinct().join(groups, "fp").groupBy("component").agg(first.alias("r")).select(F.coalesce("r.i", F.lit(0)).alias(key + "i"), F.col("r.n").alias(key + "n"), F.col("r.fp").alias(key + "fp")))
-    schema = f"{docs.schema.toDDL()}, {key}fp long"
-    marked = docs.mapInArrow(run, schema).withColumns({key + "i": F.coalesce("doc_id", F.lit(0)), key + "n": F.col("doc_id").isNull()})
-    on = [key + "i", key + "n", key + "fp"]
+    stays = cut(prints.select("doc_id", "fp").distinct().join(groups, "fp").groupBy("component").agg(first.alias("r")).select(F.coalesce("r.i", F.lit(0)).alias(mark_i), F.col("r.n").alias(mark_n), F.col("r.fp").alias(mark_fp)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark_fp, T.LongType())])
+    marked = docs.mapInArrow(run, schema).withColumns({mark_i: F.coalesce("doc_id", F.lit(0)), mark_n: F.col("doc_id").isNull()})
     kept = marked.join(stays.hint("shuffle_hash"), on, "left_semi")
     repeated = prints.groupBy("doc_id", "fp").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(on) if repeated else kept).select(*docs.columns)
+    return (kept.dropDuplicates(on) if repeated else kept).select(*[F.col(f"`{c}`") for c in docs.columns])
