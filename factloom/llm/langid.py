@@ -8,6 +8,7 @@ the presence of the landmarks' n-grams times a folded weight matrix.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bucket_of, free, small_batches
+from .tokens import spread
 
 #: N-grams of lower-case letters are hashed to so many places; two of a text share one with a chance of n / SPACE.
 SPACE = 1 << 20
@@ -54,67 +56,114 @@ def grams(text: str) -> np.ndarray:
     return ((exact * _ODD) >> np.uint64(44)).astype(np.uint32)
 
 
+#: Cells of the presence matrix of a batch.
+CELLS = 4_000_000
+
+
 @dataclass
 class Model:
     languages: list[str]
-    vocabulary: np.ndarray  # n-gram codes of the landmarks
+    vocabulary: np.ndarray  # places of the landmarks' n-grams
     weights: np.ndarray  # vocabulary x languages
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Predicted language and score in [0, 1]; `und` and 0 for null texts and texts without letters."""
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Predicted language, score in [0, 1] and number of n-grams; `und`, 0 and 0 for null texts and texts
+        without letters. A batch is one product of the presence of n-grams with the weights."""
+        names, tops, sizes = [], [np.zeros(0)], [np.zeros(0, np.int64)]
+        step = max(1, CELLS // max(1, len(self.vocabulary)))
+        for at in range(0, len(texts), step):
+            some = self._batch(texts[at : at + step])
+            names += some[0]
+            tops.append(some[1])
+            sizes.append(some[2])
+        return names, np.concatenate(tops), np.concatenate(sizes)
+
+    def _batch(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         rows = np.zeros((len(texts), len(self.vocabulary)), np.float32)
-        size = np.ones(len(texts), np.float32)
+        size = np.zeros(len(texts), np.int64)
         seen = np.zeros(SPACE, np.uint8)
-        blank = np.ones(len(texts), bool)
         for i, t in enumerate(texts):
             g = grams(t) if t else ()
             if len(g):
                 seen[g] = 1
-                rows[i], size[i], blank[i] = seen[self.vocabulary], np.count_nonzero(seen), False
+                rows[i], size[i] = seen[self.vocabulary], np.count_nonzero(seen)
                 seen[g] = 0
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        scores = (rows @ self.weights) / np.sqrt(size)[:, None]
+            return ["und"] * len(texts), np.zeros(len(texts)), size
+        scores = (rows @ self.weights) / np.sqrt(np.maximum(size, 1))[:, None]
         best = scores.argmax(1)
-        top = np.where(blank, 0.0, np.clip((1 + scores.max(1)) / 2, 0, 1)).astype(np.float64)
-        return [("und" if b else self.languages[k]) for b, k in zip(blank, best, strict=True)], top
+        top = np.where(size == 0, 0.0, np.clip((1 + scores.max(1)) / 2, 0, 1)).astype(np.float64)
+        return [("und" if not n else self.languages[k]) for n, k in zip(size, best, strict=True)], top, size
 
 
-def fit(texts: list[str], languages: list[str], *, landmarks: int = 64, ridge: float = 1e-3) -> Model:
-    """`landmarks` texts of each language span the Nyström features."""
+def fit(texts: list[str], languages: list[str], *, landmarks: int = 64, most_landmarks: int = 1024, ridge: float = 1e-3) -> Model:
+    """`landmarks` texts of each language, but `most_landmarks` of all, span the Nyström features."""
     kept = [(g, lang) for t, lang in zip(texts, languages, strict=True) if len(g := np.unique(grams(t)))]
     names = sorted({lang for _, lang in kept})
     if not names:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    chosen = [g for name in names for g in [g for g, lang in kept if lang == name][:landmarks]]
-    vocabulary = np.unique(np.concatenate(chosen))
-
-    def presence(some: list[np.ndarray]) -> np.ndarray:
-        p = np.zeros((len(some), len(vocabulary)), np.float32)
-        for i, g in enumerate(some):
-            at = np.searchsorted(vocabulary, g)
-            at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == g)]
-            p[i, at] = 1 / np.sqrt(len(g))
-        return p
-
-    marks = presence(chosen)
-    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    each = max(1, min(landmarks, most_landmarks // len(names)))
+    chosen = [g for name in names for g in [g for g, lang in kept if lang == name][:each]]
+    m = len(chosen)
+    # postings: which landmarks hold an n-gram
+    joined, owner = np.concatenate(chosen), np.repeat(np.arange(m), [len(g) for g in chosen])
+    order = np.argsort(joined, kind="stable")
+    vocabulary, number = np.unique(joined, return_counts=True)
+    holders, first = owner[order], np.cumsum(number) - number
+    root_size = np.sqrt([len(g) for g in chosen])
+
+    def kernel(g: np.ndarray) -> np.ndarray:
+        """|A & B| / sqrt(|A| |B|) with every landmark."""
+        at = np.searchsorted(vocabulary, g)
+        at = at[(at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == g)]
+        return np.bincount(holders[spread(first, number, at)], minlength=m) / (math.sqrt(len(g)) * root_size)
+
+    values, vectors = np.linalg.eigh(np.stack([kernel(g) for g in chosen]))
     good = values > 1e-6 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm^(-1/2) on its range
-    features = (presence([g for g, _ in kept]) @ marks.T) @ root
+    features = np.stack([kernel(g) for g, _ in kept]) @ root
     target = np.array([[1.0 if lang == n else -1.0 for n in names] for _, lang in kept])
     ridge_weights = np.linalg.solve(features.T @ features + ridge * len(kept) * np.eye(features.shape[1]), features.T @ target)
-    return Model(names, vocabulary, (marks.T @ (root @ ridge_weights)).astype(np.float32))
+    of_mark = (root @ ridge_weights) / root_size[:, None]
+    weights = np.add.reduceat(of_mark[holders], first, axis=0)
+    return Model(names, vocabulary.astype(np.int64), weights.astype(np.float32))
 
 
-def recognised(texts: list[str], languages: list[str], **how) -> float:
-    """The least score of a text in a learned language: midway between 0.5, the score of a text that no
-    language's output speaks for, and the 0.5 % quantile of the scores of a held-out fifth."""
+def recognised(texts: list[str], languages: list[str], **how) -> np.ndarray:
+    """The least score of a text in a learned language, by the power of two of its number of n-grams.
+
+    A model of four fifths of the sample scores runs of 1, 2, 4, ... words and the whole of the other texts. Where
+    the 0.5 % quantile of the scores of a size is no more than 0.5, the score of a text that no language's
+    output speaks for, texts are too short to tell, and none go. For all sizes above, the limit lies midway between
+    0.5 and the least of their quantiles.
+    """
     held = set(range(0, len(texts), 5))
     model = fit([t for i, t in enumerate(texts) if i not in held], [x for i, x in enumerate(languages) if i not in held], **how)
-    names, scores = model.score([texts[i] for i in sorted(held)])
-    scores = scores[np.array([n != "und" for n in names], bool)]
-    return 0.5 if not len(scores) else (0.5 + max(0.5, float(np.quantile(scores, 0.005)))) / 2
+    pieces = []
+    for i in sorted(held):
+        words = texts[i].split()
+        pieces.append(texts[i])
+        size = 1
+        while size < len(words):
+            pieces += [" ".join(words[a : a + size]) for a in (0, (len(words) - size) // 2, len(words) - size)]
+            size *= 2
+    _, scores, sizes = model.score(pieces)
+    classes = size_class(sizes)
+    lows = {c: float(np.quantile(some, 0.005)) for c in range(SIZES) if len(some := scores[(classes == c) & (sizes > 0)]) >= 20}
+    told = [c for c, low in lows.items() if low > 0.5 and all(lows[d] > 0.5 for d in lows if d > c)]
+    limits = np.zeros(SIZES)
+    if told:
+        limits[min(told) :] = (0.5 + min(lows[c] for c in told)) / 2
+    elif not lows:
+        limits[:] = 0.5
+    return limits
+
+
+SIZES = 21
+
+
+def size_class(sizes: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(sizes, 1)).astype(np.int64)
 
 
 def sampled(docs: DataFrame, *, mod: int = 5, per_language: int = 300, most_docs: int = 4000, most_languages: int = 200, longest: int = 20_000) -> tuple[list[str], list[str]]:
@@ -148,21 +197,24 @@ def learn(docs: DataFrame, *, mod: int = 5, sample: dict | None = None, **how) -
     return fit(*sampled(docs, mod=mod, **(sample or {})), **how)
 
 
-def predicted(docs: DataFrame, model: Model) -> tuple[DataFrame, str, str]:
-    """All columns of `docs`, then the predicted language and its score; and the names of these two columns."""
+def predicted(docs: DataFrame, model: Model, least: np.ndarray | float = 0.0) -> tuple[DataFrame, str, str, str]:
+    """All columns of `docs`, then the predicted language, its score, and whether that is `least` (of its size) or
+    more; and the names of these columns."""
     small_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    lang, score = free(docs, "_lang_pred", "_score")
+    lang, score, known = free(docs, "_lang_pred", "_score", "_known")
+    limits = np.broadcast_to(np.asarray(least, np.float64), SIZES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                names, scores = model.score(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, lang, score])
+                names, scores, sizes = model.score(part.column(at).to_pylist())
+                enough = (sizes > 0) & (scores >= limits[size_class(sizes)])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), pa.array(enough)], names=[*part.schema.names, lang, score, known])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return docs.mapInArrow(run, schema), lang, score
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(known, T.BooleanType())])
+    return docs.mapInArrow(run, schema), lang, score, known
 
 
 def identify(docs: DataFrame, *, mod: int = 5, **how) -> DataFrame:
@@ -171,15 +223,15 @@ def identify(docs: DataFrame, *, mod: int = 5, **how) -> DataFrame:
     Null doc_ids are not held out and not learned from. Without labelled documents all are `und`.
     """
     model = learn(docs, mod=mod, **how)
-    scored, lang, score = predicted(docs.select("doc_id", "text"), model)
+    scored, lang, score, _ = predicted(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", F.coalesce(bucket_of(F.col("doc_id"), mod) == 0, F.lit(False)).alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))
 
 
 def keep_known(docs: DataFrame, *, least: float | None = None, sample: dict | None = None, **how) -> DataFrame:
     """The rows of `docs` whose language is recognised with a score of `least` or more (default: that of
-    `recognised`), with all their columns."""
+    `recognised` for a text of its size), with all their columns. Texts without letters go."""
     seen = sampled(docs, **(sample or {}))
     if least is None:
         least = recognised(*seen, **how)
-    scored, lang, score = predicted(docs, fit(*seen, **how))
-    return scored.where((F.col(lang) != "und") & (F.col(score) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored, lang, _, known = predicted(docs, fit(*seen, **how), least)
+    return scored.where((F.col(lang) != "und") & F.col(known)).select(*[F.col(f"`{c}`") for c in docs.columns])
