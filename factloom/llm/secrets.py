@@ -3,10 +3,12 @@
 Spans are code points, end exclusive. Candidates of the battery are long runs of token characters. Each
 gets an inferred encoding (its smallest alphabet) and, against a uniform draw from that alphabet, a
 chi-squared test of the symbol counts, a runs test about the middle of the alphabet and a test of the lag-1
-serial correlation. A candidate is a discovery against the null "text in this alphabet": under it,
-chi-squared grows with the length, so the p-value is taken from the chi-squared distribution of text of
-that length. The Benjamini-Hochberg rule holds the false discovery rate in every length class by a
-histogram of the p-values, without sorting; discoveries must also be consistent with uniform draws.
+serial correlation. A discovery is made against the null "text in this alphabet", by all three: under it,
+chi-squared grows with the length as symbols coincide more often, neighbours are more often of one kind (digits,
+capitals, small letters, signs), and their places in the alphabet are correlated. Each test gives the chance that text of this length
+looks as random; Fisher's method combines them. The Benjamini-Hochberg rule holds the false discovery rate
+of the combined chance in every length class by a histogram, without sorting; discoveries must also be consistent
+with uniform draws in all three.
 """
 
 from __future__ import annotations
@@ -36,6 +38,9 @@ ENCODINGS = (
 )
 #: Chance that two symbols of ordinary text are alike (letters of European languages: 0.065 to 0.08).
 TEXT_COINCIDENCE = 0.07
+#: Chance that neighbours in text differ in kind, and the size of the lag-1 correlation of the places of its symbols.
+TEXT_SWITCH, TEXT_SERIAL = 0.25, 0.25
+KIND_RUNS = r"[0-9]+|[A-Z]+|[a-z]+|[^0-9A-Za-z]+"
 #: Bins of -log10 p in the histogram, each a tenth wide.
 P_BINS = 200
 
@@ -74,11 +79,21 @@ def normal_cdf(z: Column) -> Column:
     return 1 / (1 + F.exp(-1.5976 * z - 0.07056 * z * z * z))
 
 
+def fisher(*p: Column) -> Column:
+    """Combined chance of independent p-values; the chi-squared tail of 2k degrees of freedom has a closed form."""
+    half = -sum(F.log(F.greatest(x, F.lit(1e-300))) for x in p)
+    series, term = F.lit(1.0), F.lit(1.0)
+    for i in range(1, len(p)):
+        term = term * half / i
+        series = series + term
+    return F.least(F.lit(1.0), F.exp(-half) * series)
+
+
 def battery(token: Column) -> Column:
-    """struct<encoding, n, text_p, uniform_p> of a candidate of 20 characters or more.
+    """struct<encoding, n, chi_p, runs_p, serial_p, text_p, uniform_p> of a candidate of 20 characters or more.
 
-    text_p: chance that text of this length in this alphabet looks as uniform; uniform_p: the least p-value
-    of the three tests of uniformity, times three.
+    chi_p, runs_p, serial_p: the chance that text of this length in this alphabet looks as random to each test;
+    text_p: all three by Fisher's method; uniform_p: the least p-value of the three tests of uniformity, times three.
     """
     n = F.length(token).cast("double")
     encoding, alphabet = F.lit(ENCODINGS[-1][0]), F.lit(ENCODINGS[-1][2])
@@ -106,18 +121,29 @@ def battery(token: Column) -> Column:
             mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n
             pairs = F.aggregate(x, F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx")), lambda a, v: F.struct(v.alias("last"), (a["xy"] + F.coalesce((a["last"] - mean) * (v - mean), F.lit(0.0))).alias("xy"), (a["xx"] + (v - mean) * (v - mean)).alias("xx")))
             z_serial = let(pairs, lambda p: F.when(p["xx"] > 0, p["xy"] / p["xx"] * F.sqrt(n)).otherwise(F.lit(8.0)))
+            # one value, used thrice
+            return let(z_serial, lambda z: chances(chi, df, z_chi, z_runs, z))
+
+        def chances(chi: Column, df: Column, z_chi: Column, z_runs: Column, z_serial: Column) -> Column:
             two_sided = lambda z: 2 * (1 - normal_cdf(F.abs(z)))
             uniform = F.least(F.lit(1.0), 3 * F.least(two_sided(z_chi), two_sided(z_runs), two_sided(z_serial)))
             shift = (n - 1) * F.greatest(k * F.lit(TEXT_COINCIDENCE) - 1, F.lit(0.05))
-            text = normal_cdf((chi - df - shift) / F.sqrt(2 * df + 4 * shift))
-            return F.struct(encoding.alias("encoding"), n.cast("int").alias("n"), text.alias("text_p"), uniform.alias("uniform_p"))
+            chi_p = normal_cdf((chi - df - shift) / F.sqrt(2 * df + 4 * shift))
+            switches = F.regexp_count(token, F.lit(KIND_RUNS)) - 1
+            runs_p = normal_cdf(((n - 1) * TEXT_SWITCH + 0.5 - switches) / F.sqrt((n - 1) * TEXT_SWITCH * (1 - TEXT_SWITCH)))
+            serial_p = normal_cdf(F.abs(z_serial) - F.sqrt(n) * TEXT_SERIAL)
+            p = F.struct(chi_p.alias("chi"), runs_p.alias("runs"), serial_p.alias("serial"))
+            return let(p, lambda p: F.struct(
+                encoding.alias("encoding"), n.cast("int").alias("n"), p["chi"].alias("chi_p"), p["runs"].alias("runs_p"), p["serial"].alias("serial_p"),
+                fisher(p["chi"], p["runs"], p["serial"]).alias("text_p"), uniform.alias("uniform_p"),
+            ))
 
         return let(F.struct(squares.alias("squares"), places.alias("places")), tests)
 
     return let(F.struct(alphabet.alias("alphabet")), with_alphabet)
 
 
-def scan(docs: DataFrame, *, rate: float = 0.01, uniform: float = 0.01) -> DataFrame:
+def scan(docs: DataFrame, *, rate: float = 0.01, uniform: float = 0.03) -> DataFrame:
     """doc_id and spans (array<struct<kind, start, end>> by start, then kind as listed), with n_assign, n_access, n_hex.
 
     rate: false discovery rate of `random` spans in each class of lengths (powers of two); uniform: the
