@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import attention, decontam, graph, htmltext, langid, lm, mixing, quality, queries, rans, secrets, simhash, tokens, urlfilter
+from factloom.llm import decontam, graph, htmltext, langid, mixing, quality, queries, rans, secrets, simhash, tokens, urlfilter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
@@ -281,71 +281,6 @@ def test_light_blocks_of_a_page_without_article_stay():
     assert htmltext.main_text(page) == "\n".join([*body, "Short end."])
 
 
-# -- 9
-
-
-def test_lm_base_model_and_both_ways(spark, odd_docs, monkeypatch):
-    rng = random.Random(2)
-    rows = [(500 + i, " ".join(rng.choice(["the cat sat", "a dog ran", "one bird sang"]) + f" w{rng.randrange(40)}" for _ in range(30)), "en", "s", 0) for i in range(150)]
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(rows, EMPTY))
-    counts, tokens_of = collections.Counter(), []
-    for r in docs.collect():
-        w = [*(r.text or "").encode().lower().split(), None]
-        tokens_of.append((r.doc_id, w))
-        if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10:
-            counts.update(w)
-    n, v = sum(counts.values()), len(counts)
-    want = sorted((str(d), len(w), sum(counts[x] > 0 for x in w), round(sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)) for d, w in tokens_of)
-    path, pattern = queries.subword_ranks()
-    scored = lm.score(docs, path, pattern).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in scored) == want and {r.train_tokens for r in scored} == {n}
-    held = [r for r in scored if r.held_out and r.doc_id >= 500]
-    assert sum(r.score for r in held) > 1.0 * sum(r.base_score for r in held) and all(r.score < 0 for r in scored)
-    monkeypatch.setattr(lm, "BROADCAST_WORDS", 3)
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.score(docs, path, pattern).collect()) == want
-    assert lm.score(docs.limit(0), path, pattern).count() == 0
-
-
-def test_lm_context_is_learned_from_all_texts(spark):
-    rng = random.Random(8)
-    path, pattern = queries.subword_ranks()
-    cycle = "the river runs under an old stone bridge while seven ships wait for wind "
-    rows = [(i, " ".join(rng.choices(["red", "green", "blue", "white", "black"], k=40))) for i in range(60)] + [(i, cycle * 300) for i in range(60, 80)]  # over 20,000 characters
-    docs = spark.createDataFrame([*rows, *[(i, cycle * 2) for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 10 == 0], (None, "x"), (90, None)], "doc_id long, text string")
-    training = [(d, t) for d, t in rows if zlib.crc32(str(d).encode()) % 10]
-    sub, want = lm.subwords(path, pattern), collections.Counter()
-    for _, t in training:
-        ids = [sub.end, *sub.of(t.split())[0].tolist(), sub.end]
-        want.update(zip(ids, ids[1:], strict=False))
-    scored = lm.score(docs, path, pattern).where("doc_id >= 1000 AND held_out").collect()
-    assert len(scored) > 3 and all(r.score > -0.5 * r.n_tokens for r in scored)
-    counted = lm.CorpusPairs(spark.createDataFrame(training, "doc_id long, text string"), path, pattern)
-    assert {divmod(r["pair"], sub.size): r["count"] for r in counted.pairs.collect()} == want
-    inputs, targets = (np.repeat([p[k] for p in want], list(want.values())) for k in (0, 1))
-    alone, cls = attention.Pairs(inputs, targets, sub.size), np.arange(sub.size) % attention.CLASSES
-    assert (counted.totals() == alone.totals()).all() and (counted.next_class(cls) == alone.next_class(cls)).all()
-
-
-def test_attention_scores_each_id_once_from_its_past():
-    rng = np.random.default_rng(0)
-    counts = np.array([0, 3, 70, 1, 33])
-    ids = rng.integers(0, 50, counts.sum())
-    emission = lambda cls: attention.emissions(np.full(50, attention.CLASSES), np.arange(50), np.ones(50), np.concatenate([cls, [0]])[: len(cls)]) if len(cls) == 50 else attention.emissions(np.full(51, attention.CLASSES), np.arange(51), np.ones(51), cls)
-    m = attention.train(ids, counts, 51, 50, emission, np.ones(51, bool))
-    x, y, first = attention.stream(ids, counts, 50)
-    whole = m.log_probs(x, y, first, rows=2)
-    assert len(whole) == counts.sum() + len(counts)
-    at = 0
-    for i, c in enumerate(counts):  # each text alone gives the same scores, up to where windows begin
-        xs, ys, fs = attention.stream(ids[counts[:i].sum() : counts[: i + 1].sum()], counts[i : i + 1], 50)
-        alone = m.log_probs(xs, ys, fs)
-        assert np.allclose(alone[: min(c + 1, 1)], whole[at : at + min(c + 1, 1)], atol=1e-4)
-        at += c + 1
-    # probabilities of all next ids add up to 1
-    total = sum(np.exp(m.log_probs(x[:5], np.full(5, t), first[:5])) for t in range(51))
-    assert np.allclose(total, 1, atol=1e-3)
-
-
 # -- 10
 
 
