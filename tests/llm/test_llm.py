@@ -347,6 +347,32 @@ def test_decontamination_finds_every_edited_passage(spark):
     assert 160 <= sum(want.values()) < len(items) and got == {(i, i) for i, w in want.items() if w}
 
 
+def test_blocks_find_all_fingerprints_within_the_radius(monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [(i, w) for i, w in enumerate(_passages(random.Random(8), 12, 90) + _passages(random.Random(9), 30, 40))]
+    for radius in (0, 3, 12, 22):
+        scan = decontam.Items(items, 5, 0.8, radius)
+        monkeypatch.setattr(decontam, "SCAN", 0)
+        blocks = decontam.Items(items, 5, 0.8, radius)
+        monkeypatch.undo()
+        scan.index = {}
+        prints = np.array([int(p) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 30), replace=False)) for p in scan.prints for _ in range(3)], np.uint64)
+        for n in scan.groups:
+            want = {(w, int(i)) for w, p in enumerate(prints) for i in scan.groups[n] if (int(p) ^ int(scan.prints[i])).bit_count() <= radius}
+            assert want and set(zip(*(x.tolist() for x in blocks.near(prints, n)), strict=True)) == want == set(zip(*(x.tolist() for x in scan.near(prints, n)), strict=True))
+
+
+def test_fingerprints_of_windows_are_those_of_the_windows_alone():
+    items = [(i, w) for i, w in enumerate(_passages(random.Random(8), 12, 5))]
+    index = decontam.Items(items, 5, 0.8)
+    words = [w for _, ws in items[:3] for w in ws[2:9]]
+    s = decontam.shingle_hashes(decontam.word_hashes(words), 5)
+    got = index.fingerprints(s, len(s) - 7, 8)
+    for at in range(len(s) - 7):
+        sums = [sum((1 if int(x) >> b & 1 else -1) * index.weight.get(int(x), index.rest) for x in s[at : at + 8]) for b in range(64)]
+        assert int(got[at]) == sum(1 << b for b in range(64) if sums[b] > 1e-9)
+
+
 def test_decontamination_of_documents_shorter_than_items(spark):
     items = _passages(random.Random(7), 60, 4)
     texts = [items[0][:-1], items[1][1:], items[2][:49], items[2][:50], items[3][:4], items[3][:3] + items[3][56:]]
