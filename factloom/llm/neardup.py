@@ -5,7 +5,7 @@ MinHash bands. A band is a shard: its classes are searched by a BK-tree over the
 shard is large (see `simhash`). What the trees link are candidate groups. The texts of these groups alone are
 brought together and compared by their whole shingle sets; a cell returns a spanning forest of the pairs that pass.
 
-A pair of similarity 0.8 shares none of 14 bands of 2 with probability 6e-7, and exceeds 76 of 256 bits with 1e-8
+A pair of similarity 0.8 shares none of 20 bands of 3 with probability 6e-7, and exceeds 76 of 256 bits with 1e-8
 (a few shingles: 3e-6); more similar pairs with less. Pairs that share a passage of a tenth of their shingles
 are within 76 bits with probability 2e-6, so passages do not join groups.
 """
@@ -25,7 +25,7 @@ from .decontam import shingle_hashes, word_hashes
 from .graph import components
 from .tokens import split_words, spread
 
-BANDS, ROWS = 14, 2
+BANDS, ROWS = 20, 3
 WORDS = 4
 #: Members and shingles of a chunk of a candidate group.
 CHUNK, CHUNK_SHINGLES = 1024, 1_000_000
@@ -141,27 +141,25 @@ def exact_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int],
 
 
 def _verified(docs: DataFrame, members: DataFrame, count: int, shingle: int, similarity: float) -> DataFrame:
-    """Links (u, v) that span the similar pairs of each candidate group of `members` (cid, group, n, key)."""
+    """Links (u, v) that span the similar pairs of each candidate group of `members` (id, group, n, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in simhash.runs(batches, by):
             if len(g) < 2:
                 continue
             us, vs = exact_forest([shingle_set(h, shingle) for h in _hashed(g.column("text"))], similarity)
-            cid = g.column("cid")
-            yield pa.record_batch([cid.take(pa.array(us, pa.int64())), cid.take(pa.array(vs, pa.int64()))], names=["u", "v"])
-
-    by = ["g0", "g1", "cell"]
-    # the 128 bits of a group, as longs
-    halves = [F.conv(F.hex(F.substring("group", i, 8)), 16, -10).cast("long") for i in (1, 9)]
-    members = members.select("cid", halves[0].alias("g0"), halves[1].alias("g1"), "n", "key._k0", "key._k1")
-    size = members.groupBy("g0", "g1").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+            ids = g.column("id")
+            yield pa.record_batch([ids.take(pa.array(us, pa.int64())), ids.take(pa.array(vs, pa.int64()))], names=["u", "v"])
+
+    by = ["group", "cell"]
+    members = members.select("id", "group", "n", "key._k0", "key._k1")
+    size = members.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
     chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("s") / CHUNK_SHINGLES)).cast("int")
-    large = cut(size.select("g0", "g1", chunks.alias("chunks")).where("chunks > 1"))
+    large = cut(size.select("group", chunks.alias("chunks")).where("chunks > 1"))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *_text_key())
-    found = texts.join(broadcast_if(members.drop("n"), count, BROADCAST_MEMBERS), ["_k0", "_k1"]).groupBy("cid").agg(*(F.first(c).alias(c) for c in ("g0", "g1", "text")))
-    rows = simhash.into_cells(found, "cid", ["g0", "g1"], large, large.count())
-    return rows.repartition(*by).sortWithinPartitions(*by).select("cid", "text", *by).mapInArrow(run, "u binary, v binary")
+    found = texts.join(broadcast_if(members.drop("n"), count, BROADCAST_MEMBERS), ["_k0", "_k1"]).groupBy("id").agg(*(F.first(c).alias(c) for c in ("group", "text")))
+    rows = simhash.into_cells(found, "id", ["group"], large, large.count())
+    return rows.repartition(*by).sortWithinPartitions(*by).select("id", "text", *by).mapInArrow(run, "u long, v long")
 
 
 def _groups(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -169,13 +167,15 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, radius: int) -> tu
     small_batches(docs.sparkSession)
     prints = cut(_sketches(docs, shingle))
     words = [f"f{i}" for i in range(WORDS)]
-    distinct = cut(prints.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(F.struct("_k0", "_k1")).alias("key"), *(F.first(c).alias(c) for c in ("n", *words, "keys"))))
-    shards = distinct.select("cid", *words, F.posexplode("keys").alias("band", "key"))
-    candidates = components(simhash.shard_links(shards, "cid", words, ["band", "key"], radius))
-    members = cut(candidates.join(distinct.select("cid", "n", "key"), F.col("node") == F.col("cid")).select("cid", F.col("component").alias("group"), "n", "key"))
+    least = prints.groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(F.struct("_k0", "_k1")).alias("key"), *(F.first(c).alias(c) for c in ("n", *words, "keys")))
+    # classes get numbers, as links between longs are joined and aggregated in place
+    distinct = cut(least.withColumn("id", F.monotonically_increasing_id()))
+    shards = distinct.select("id", *words, F.posexplode("keys").alias("band", "key"))
+    candidates = components(simhash.shard_links(shards, "id", words, ["band", "key"], radius))
+    members = cut(candidates.join(distinct.select("id", "n", "key"), F.col("node") == F.col("id")).select("id", F.col("component").alias("group"), "n", "key"))
     count = members.count()
     found = components(_verified(docs, members, count, shingle, similarity)) if count else candidates
-    placed = distinct.select("cid", "least").join(found.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "least", F.coalesce("component", "cid").alias("component"))
+    placed = distinct.select("id", "cid", "least").join(found.withColumnRenamed("node", "id"), "id", "left").select("cid", "least", F.coalesce("component", "id").alias("component"))
     labelled = placed.join(placed.groupBy("component").agg(F.min("least").alias("component_id")), "component")
     return prints.select("doc_id", "_k0", "_k1", "cid"), labelled.select("cid", "component", "component_id")
 
