@@ -9,6 +9,8 @@ DataFrame functions are used.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -94,11 +96,50 @@ class DecisionList:
         return out
 
 
-def learn(labelled: DataFrame, *, measures=MEASURES, bins: int = 32, precision: float = 0.9, least: float = 0.002, max_rules: int = 12, max_tests: int = 3) -> DecisionList:
+@dataclass
+class Histogram:
+    """(good, bad) rows by (fold, number of the measure) and bin."""
+
+    table: dict
+
+    def total(self, fold: int) -> tuple[int, int]:
+        of = self.table.get((fold, 0), {}).values()
+        return sum(v[0] for v in of), sum(v[1] for v in of)
+
+    def tests(self, measures, cuts) -> Iterator[tuple]:
+        """(FOIL gain, test, good, bad) of each test on the grow rows that catches bad ones and gains."""
+        good, bad = self.total(0)
+        for i, m in enumerate(measures):
+            bins, below = self.table.get((0, i), {}), [0, 0]
+            for c, threshold in enumerate(cuts[m]):
+                for k in (0, 1):  # bins up to c hold the values up to the threshold
+                    below[k] += bins.get(c, [0, 0])[k]
+                for op, (g, b) in (("<=", below), (">", [good - below[0], bad - below[1]])):
+                    gain = b * (math.log2((b + 1) / (b + g + 2)) - math.log2((bad + 1) / (bad + good + 2)))
+                    if gain > 1e-6:
+                        yield gain, (m, op, threshold), g, b
+
+    def gains(self, measures, cuts) -> list[tuple]:
+        return [t[:2] for t in self.tests(measures, cuts)]
+
+    def seeds(self, measures, cuts, precision: float, failed: set) -> list[tuple]:
+        """(gain, seed, test): for each measure and direction the most gainful test, and the most gainful precise one, of those that have not failed."""
+        best: dict = {}
+        for gain, test, g, b in self.tests(measures, cuts):
+            for kind in ("any", "precise") if (b + 1) / (b + g + 2) >= precision else ("any",):
+                seed = (*test[:2], kind)
+                if failed.isdisjoint((seed, test)) and (seed not in best or gain > best[seed][0] + 1e-9):
+                    best[seed] = (gain, seed, test)
+        return list(best.values())
+
+
+def learn(labelled: DataFrame, *, measures=MEASURES, bins: int = 32, precision: float = 0.9, least: float = 0.002, max_tests: int = 3) -> DecisionList:
     """A list of reject rules from `labelled` (m: struct of measures, bad: boolean, fold: 0 grow, 1 prune).
 
     Rules are grown on two thirds of the rows by FOIL gain and pruned on the rest; a rule stays if its
     smoothed precision on the prune rows is at least `precision` and it catches `least` of the bad rows.
+    A rule that does not stay excludes its first test and its seed (measure, direction, and whether the threshold was
+    the most gainful of all or of the precise ones), and covering goes on until no seed is left, so at most 4 x measures rules fail.
     Thresholds are quantiles (approx_percentile, relative error 1e-4) of each measure over the bad and
     over the good rows. Without bad or good rows the list is empty.
     """
@@ -107,6 +148,7 @@ def learn(labelled: DataFrame, *, measures=MEASURES, bins: int = 32, precision:
     if {r["bad"] for r in per_label} != {True, False}:
         return DecisionList()
     cuts = {m: sorted({float(x) for r in per_label for x in r[m]}) for m in measures}
+    enough = max(2, least * next(r["n"] for r in per_label if r["bad"]) / 3)
 
     def code(m: str) -> Column:
         """The number of cuts below the value: values up to the first cut have code 0."""
@@ -117,65 +159,44 @@ def learn(labelled: DataFrame, *, measures=MEASURES, bins: int = 32, precision:
     at = {m: i for i, m in enumerate(measures)}
     code_test = lambda t: (F.col("codes")[at[t[0]]] > cuts[t[0]].index(t[2])) if t[1] == ">" else (F.col("codes")[at[t[0]]] <= cuts[t[0]].index(t[2]))
 
-    def counts(df: DataFrame) -> dict:
+    def counts(df: DataFrame) -> Histogram:
         """Numbers of (good, bad) rows by fold, and by fold, measure and bin."""
         out: dict = {}
         for r in df.select("bad", "fold", F.posexplode("codes").alias("m", "c")).groupBy("fold", "m", "c", "bad").count().collect():
             out.setdefault((r["fold"], r["m"]), {}).setdefault(r["c"], [0, 0])[int(r["bad"])] += r["count"]
-        return out
-
-    import math
+        return Histogram(out)
 
     found: list[Rule] = []
-    fires: list[Column] = []
-    while len(found) < max_rules:
-        open_rows = left
-        for f in fires:
-            open_rows = open_rows.where(~f)
-        tests: list[tuple[str, str, float]] = []
-        trail: list[tuple[int, int]] = []  # (good, bad) prune rows under the first tests
-        rows = open_rows
+    failed: set[tuple] = set()
+    top = None
+    while True:
+        top = top or counts(left)
+        seeds = top.seeds(measures, cuts, precision, failed)
+        if not seeds:
+            return DecisionList(found)
+        _, seed, test = max(seeds, key=lambda s: round(s[0], 9))  # the first of equals
+        tests, rows, trail = [test], left.where(code_test(test)), []
         while True:
             table = counts(rows)
-            total = {fold: [sum(v[k] for v in table.get((fold, 0), {}).values()) for k in (0, 1)] for fold in (0, 1)}
-            if tests:
-                trail.append(tuple(total[1]))
-            good, bad = total[0]
-            if not bad or not good and tests or len(tests) == max_tests:
-                break
-            best = None
-            for m in measures:
-                bins_of = table.get((0, at[m]), {})
-                below = [0, 0]
-                for c in range(len(cuts[m])):
-                    for k in (0, 1):
-                        below[k] += bins_of.get(c, [0, 0])[k]
-                    # codes <= c hold the values up to cuts[c]
-                    for op, (g, b) in (("<=", below), (">", [good - below[0], bad - below[1]])):
-                        if b > 0:
-                            gain = b * (math.log2((b + 1) / (b + g + 2)) - math.log2((bad + 1) / (bad + good + 2)))
-                            if best is None or gain > best[0] + 1e-9:
-                                best = (gain, (m, op, cuts[m][c]))
-            if best is None or best[0] <= 1e-6:
+            trail.append(table.total(1))
+            good, bad = table.total(0)
+            best = max(table.gains(measures, cuts), key=lambda g: round(g[0], 9), default=None)
+            if not good or not bad or len(tests) == max_tests or best is None:
                 break
             tests.append(best[1])
             rows = rows.where(code_test(best[1]))
-        if not tests:
-            break
         # prune: the shortest leading part with the best smoothed precision on rows that did not grow it
-        scores = [((b + 1) / (b + g + 2), b, g) for g, b in trail]
-        keep = max(range(len(scores)), key=lambda i: (round(scores[i][0], 3), -i))
-        score, caught, wrong = scores[keep]
-        all_bad = next(r["n"] for r in per_label if r["bad"])
-        if score < precision or caught < max(2, least * all_bad / 3):
-            break
-        rule = Rule(tests[: keep + 1], caught, wrong)
-        found.append(rule)
+        scores = [(b + 1) / (b + g + 2) for g, b in trail]
+        keep = max(range(len(scores)), key=lambda i: (round(scores[i], 3), -i))
+        wrong, caught = trail[keep]
+        if scores[keep] < precision or caught < enough:
+            failed.update((seed, test))
+            continue
+        found.append(Rule(tests[: keep + 1], caught, wrong))
         fire = F.lit(True)
-        for t in rule.tests:
+        for t in tests[: keep + 1]:
             fire = fire & code_test(t)
-        fires.append(fire)
-    return DecisionList(found)
+        left, top = left.where(~fire), None
 
 
 def judge(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
