@@ -99,7 +99,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     by_group = placed.groupBy("component").agg(F.min("own").alias("inherited"))
     needy = seen.where("node IS NOT NULL AND own IS NULL").select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     told = needy.join(by_group, "component").select("node", "inherited")
-    return seen.join(told, "node", "left").select(
+    # rows of their own decision, and rows without a node (as many as there are null URLs), need no join
+    open_rows = "node IS NOT NULL AND own IS NULL"
+    judged = seen.where(open_rows).join(told, "node", "left").unionByName(seen.where(f"NOT ({open_rows})").withColumn("inherited", F.lit(None).cast("string")))
+    return judged.select(
         "page_id", "host", "path", "rule",
         F.coalesce("own", "inherited", F.lit("allow")).alias("verdict"),
         F.when(F.col("own").isNotNull(), F.lit("rule")).when(F.col("inherited").isNotNull(), F.lit("alias")).otherwise(F.lit("default")).alias("reason"),
